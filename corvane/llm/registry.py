@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, sketch
+from . import decontaminate, line_templates, sharding, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": sharding.query,
+    "op5_line_templates": line_templates.query,
     "op6_scaled_sketch": sketch.query,
+    "op9_winnowing": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_templates": line_templates.SQL,
+    "op9_winnowing": decontaminate.SQL,
+}
