@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_templates, order_minhash, pieces, sharding, sketch
+from . import decontaminate, line_templates, order_minhash, pieces, repair, sharding, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": sharding.query,
     "op5_line_templates": line_templates.query,
     "op6_scaled_sketch": sketch.query,
     "op7_distinct_chunks": pieces.query,
+    "op8_re_pair": repair.query,
     "op9_winnowing": decontaminate.query,
     "op10_order_minhash": order_minhash.query,
 }
