@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_templates, order_minhash, pieces, repair, sharding, sketch
+from . import crf_language, decontaminate, line_templates, order_minhash, pieces, repair, sharding, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_language": crf_language.query,
     "op2_histogram_sort": sharding.query,
     "op5_line_templates": line_templates.query,
     "op6_scaled_sketch": sketch.query,
