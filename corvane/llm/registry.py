@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_language, decontaminate, line_templates, order_minhash, pieces, repair, sharding, sketch
+from . import crf_language, decontaminate, line_templates, order_minhash, pieces, repair, sharding, sketch, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language": crf_language.query,
     "op2_histogram_sort": sharding.query,
+    "op3_warc_derivatives": warc.query,
+    "op4_association_rules": url_rules.query,
     "op5_line_templates": line_templates.query,
     "op6_scaled_sketch": sketch.query,
     "op7_distinct_chunks": pieces.query,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_derivatives": warc.SQL,
     "op5_line_templates": line_templates.SQL,
     "op9_winnowing": decontaminate.SQL,
 }
