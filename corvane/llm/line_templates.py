@@ -34,9 +34,10 @@ def mask(line: Column) -> Column:
 
 def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
+    # masked inside the generator: a filter on what follows cannot repeat the work
+    masked = F.transform(F.split(text, "\n"), mask)
     return (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("tk"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-        .withColumn("masked", mask(F.col("line")))
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("tk"), F.posexplode(masked).alias("pos", "masked"))
         .withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
         .withColumn("n_var", F.expr("(length(masked) - length(replace(masked, '<*>', ''))) div 3"))
         .where(F.col("n") - F.col("n_var") >= MIN_TOKENS)
