@@ -120,7 +120,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
     return (
         docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__tk": F.xxhash64(text)})
-        .join(maybe_broadcast(drops, 400), ["__did", "__tk"], "left")
+        .join(drops, ["__did", "__tk"], "left")
         .withColumns(
             {
                 "clean_text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(
