@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +18,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
+def _joined(t: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(t, i + 1, n), " ")
+
+
 def word_grams(text: Column, most: int = 2) -> Column:
     """All word n-grams up to ``most``."""
-    t = tokens(text)
-    parts = [t]
-    for n in range(2, most + 1):
-        parts.append(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: i + (n - 1) <= F.size(t)), lambda i: F.array_join(F.slice(t, i, n), " ")))
-    return F.concat(*parts)
+
+    def grams(t: Column) -> Column:
+        longer = [
+            F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), _joined(t, n))).otherwise(F.array().cast("array<string>"))
+            for n in range(2, most + 1)
+        ]
+        return F.concat(t, *longer)
+
+    return F.transform(F.array(tokens(text)), grams)[0]  # the tokens are found once
 
 
 def char_grams(text: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
@@ -96,9 +104,13 @@ def structural(rows: DataFrame, text: str = "text", key: str = "id") -> DataFram
     return standardized(flat, STRUCTURE).select(key, l2_normalize(F.array(*STRUCTURE)).alias("v"))
 
 
+def _times(w: float) -> Callable[[Column], Column]:
+    return lambda x: x.cast("double") * w
+
+
 def hybrid(parts: Sequence[tuple[Column, float]]) -> Column:
     """Weighted parts side by side, of unit length."""
-    return l2_normalize(F.concat(*(F.transform(v, lambda x, w=w: x.cast("double") * w) for v, w in parts)))
+    return l2_normalize(F.concat(*(F.transform(v, _times(w)) for v, w in parts)))
 
 
 def hashed_embedding(rows: DataFrame, dimensions: int = 256, text: str = "text", key: str = "id") -> DataFrame:

@@ -58,9 +58,9 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", queries: DataFrame |
     queries = vectors if queries is None else queries
     blocks = max(1, ceil(vectors.count() / block_rows))
     query_blocks = max(blocks, int(vectors.sparkSession.sparkContext.defaultParallelism))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("q"), numbers(blocks).cast("long").alias("b"))
-    right = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), numbers(query_blocks).cast("long").alias("q"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("q"), numbers(blocks).alias("b"))
+    right = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), numbers(query_blocks).alias("q"))
     found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(_nearest(k, metric), "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -105,4 +105,4 @@ def audit(rows: DataFrame, mapping: DataFrame, ambiguous: Sequence[str], broad:
         .when(F.col("macro").isin(*broad), "broad")
         .otherwise("direct")
     )
-    return joined.withColumn("macro", F.coalesce("macro", F.lit(OTHER))).withColumn("status", status).orderBy(F.desc("n"), "tag_norm")
+    return joined.withColumn("status", status).withColumn("macro", F.coalesce("macro", F.lit(OTHER))).orderBy(F.desc("n"), "tag_norm")

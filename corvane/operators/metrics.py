@@ -73,7 +73,7 @@ def _log_factorial(of: str):
 
 def external(rows: DataFrame, by: list[str], true: str = "t", pred: str = "k", guard: bool = True) -> DataFrame:
     """ari, ami, nmi, homogeneity, completeness, v_measure; with ``guard`` all 0 if a side has fewer than two labels."""
-    cells = contingency(rows, by, true, pred)
+    cells = contingency(rows, by, true, pred).persist()  # label pairs, not rows; six aggregations start from them
     x = information(cells, by).join(adjusted_rand(cells, by), by).join(adjusted_mutual_information(cells, by).select(*by, "ami"), by)
     names = ("ari", "ami", "nmi", "homogeneity", "completeness", "v_measure")
     few = (F.col("n_true") < 2) | (F.col("n_pred") < 2)
