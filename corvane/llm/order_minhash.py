@@ -2,9 +2,9 @@
 
 A text's k-mers are its five-word shingles, each labelled by which occurrence it is. Each of ``SKETCHES`` hash functions takes
 the ``TAKE`` smallest labelled k-mers, and the sketch entry hashes them in text order, so that moved passages
-change it. Texts that share an entry meet in a bucket; a bucket compares its members with one of them (a star, not all pairs). A
-bucket in which a comparison fails is divided by the following sketch entries, again and again, until no
-division is left or each part agrees: no bucket is capped. Verification aligns the labelled k-mers within the band that
+change it. Texts that share an entry meet in a bucket; a bucket compares its members with the one that meets the most others (a star, not all pairs), and those
+that fail with a few others besides. A bucket in which a comparison fails is divided by the next one, two, four, ... sketch entries until each part
+agrees or no entry is left: no bucket is capped. Verification aligns the labelled k-mers within the band that
 the threshold allows: similarity is aligned / (a + b - aligned), where ``aligned`` is the longest chain of common
 labelled k-mers that ascends in both texts.
 
@@ -18,7 +18,6 @@ import hashlib
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from ._common import checkpoint, maybe_broadcast, table
 SHINGLE = 5
 SKETCHES = 16
 TAKE = 2
+MORE_HEADS = 4  # members of a bucket that those unlike its head are compared with besides
 SIMILAR = 0.8
 
 _FOLD = bytes(
@@ -168,8 +168,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold at least two, with the bucket's lowest key and its size."""
-    heads = members.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
+    """Members of buckets that hold at least two, with the bucket's head (the best connected member) and its size."""
+    heads = members.groupBy("bucket").agg(F.max(F.struct("ties", "key"))["key"].alias("head"), F.count("*").alias("n")).where("n > 1")
     return members.join(heads, "bucket")
 
 
@@ -177,49 +177,60 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between keys of different texts; ``sketches`` has key and sketch once for each key."""
     spark = docs.sparkSession
     parts = sketches.select("key", "sketch", F.posexplode("sketch").alias("j", "v"))
-    members = checkpoint(_stars(parts.select("key", F.xxhash64("j", "v").alias("bucket"), "j", "sketch")))
+    met = parts.select("key", F.xxhash64("j", "v").alias("bucket"), "j", "sketch")
+    shared = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpoint(met.join(shared, "bucket"))
+    # the text that meets the most others is compared with them: of copies of one original, the one least changed
+    ties = met.groupBy("key").agg(F.sum("n").alias("ties"))
+    members = checkpoint(_stars(met.drop("n").join(ties, "key")))
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = checkpoint(members.select("key").distinct())
     texts = checkpoint(keyed.join(maybe_broadcast(wanted, 48), "key", "left_semi").dropDuplicates(["key"]))
-    known: list[DataFrame] = []
-    for depth in range(1, SKETCHES + 1):
+    results: DataFrame | None = None
+    depth = 1
+    while True:
         pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-        for old in known:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        known.append(_verify(checkpoint(pairs), texts))
-        results = reduce(DataFrame.unionByName, known)
-        open_buckets = (
-            members.where("key <> head AND n > 2")
-            .join(results.where("NOT near").select(F.col("a").alias("head"), F.col("b").alias("key")), ["head", "key"], "left_semi")
-            .select("bucket")
-            .distinct()
-        )
+        pairs = pairs if results is None else pairs.join(results.select("a", "b"), ["a", "b"], "left_anti")
+        found = _verify(pairs, texts)
+        results = found if results is None else results.unionByName(found)
+        if depth == SKETCHES:
+            break  # what is left in a bucket agrees in all entries
+        # a bucket of two needs no division, nor one in which all comparisons held
+        failed = results.where("NOT near").select(F.col("a").alias("head"), F.col("b").alias("key"))
+        unlike = checkpoint(members.where("key <> head AND n > 2").join(failed, ["head", "key"], "left_semi").select("bucket", "key"))
+        if unlike.isEmpty():
+            break
+        open_buckets = unlike.select("bucket").distinct()
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "bucket", "key").alias("h"), "key"))["key"] for i in range(MORE_HEADS)]
+        others = members.where("key <> head").join(open_buckets, "bucket", "left_semi").groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("others"))
+        tried = unlike.join(others, "bucket").select("key", F.explode("others").alias("other")).where("key <> other")
+        tried = tried.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct().join(results.select("a", "b"), ["a", "b"], "left_anti")
+        results = results.unionByName(_verify(tried, texts))
         again = members.drop("head", "n").join(open_buckets, "bucket", "left_semi")
-        finer = F.xxhash64("bucket", F.get("sketch", F.pmod(F.col("j") + depth, F.lit(SKETCHES))))
+        more = (F.get("sketch", F.pmod(F.col("j") + i, F.lit(SKETCHES))) for i in range(depth, min(2 * depth, SKETCHES)))
+        finer = F.xxhash64("bucket", *more)
+        depth = min(2 * depth, SKETCHES)
         members = checkpoint(_stars(again.withColumn("bucket", finer)))
-        if members.isEmpty():
-            break
-    if not known:
-        return spark.createDataFrame([], "a binary, b binary")
-    return checkpoint(reduce(DataFrame.unionByName, known).where("near").select("a", "b"))
+    return results.where("near").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root): the lowest key of each linked key's component, by large-star and small-star steps."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpoint(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = checkpoint(small)
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        mark = small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if mark == seen:  # the same links as a round before
             roots = small.select(F.col("u").alias("key"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-        edges = small
+        edges, seen = small, mark
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
