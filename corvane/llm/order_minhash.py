@@ -29,7 +29,7 @@ from ._common import checkpoint, maybe_broadcast, table
 SHINGLE = 5
 SKETCHES = 16
 TAKE = 2
-MORE_HEADS = 4  # members of a bucket that those unlike its head are compared with besides
+MORE_HEADS = 3  # members of a bucket that those unlike its head are compared with besides
 SIMILAR = 0.8
 
 _FOLD = bytes(
@@ -131,14 +131,17 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) ->
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     for batch in batches:
-        keys, rows = [], []
+        keys, rows, n = [], [], []
         for text in batch.column("text").to_pylist():
             keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest())
-            rows.append(sketch(labelled_kmers(text)).view(np.int64))
+            kmers = labelled_kmers(text)
+            n.append(len(kmers))
+            rows.append(sketch(kmers).view(np.int64))
         offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "key", "sketch"]
+            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            ["doc_id", "key", "len", "sketch"],
         )
 
 
@@ -161,23 +164,25 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
+    """(a, b, near) of pairs (a, b, la, lb); those whose lengths rule out the similarity are decided without their texts."""
+    pairs = checkpoint(pairs)
+    possible = F.least("la", "lb") >= SIMILAR * F.greatest("la", "lb")
+    both = pairs.where(possible).select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"
     )
-    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a binary, b binary, near boolean"))
+    near = both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a binary, b binary, near boolean")
+    return checkpoint(near.unionByName(pairs.where(~possible).select("a", "b", F.lit(False).alias("near"))))
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Members of buckets that hold at least two, with the bucket's head (the best connected member) and its size."""
-    heads = members.groupBy("bucket").agg(F.max(F.struct("ties", "key"))["key"].alias("head"), F.count("*").alias("n")).where("n > 1")
-    return members.join(heads, "bucket")
+    heads = members.groupBy("bucket").agg(F.max(F.struct("ties", "key", "len")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    return members.join(heads, "bucket").select("bucket", "key", "len", "j", "ties", F.col("head.key").alias("head"), F.col("head.len").alias("head_len"), "n")
 
 
 def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between keys of different texts; ``sketches`` has key and sketch once for each key."""
-    spark = docs.sparkSession
-    parts = sketches.select("key", "sketch", F.posexplode("sketch").alias("j", "v"))
-    met = parts.select("key", F.xxhash64("j", "v").alias("bucket"), "j", "sketch")
+    """Verified links (a, b) between keys of different texts; ``sketches`` has key, len and sketch once for each key."""
+    met = sketches.select("key", "len", F.posexplode("sketch").alias("j", "v")).select("key", "len", F.xxhash64("j", "v").alias("bucket"), "j")
     shared = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(met.join(shared, "bucket"))
     # the text that meets the most others is compared with them: of copies of one original, the one least changed
@@ -189,7 +194,7 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     results: DataFrame | None = None
     depth = 1
     while True:
-        pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+        pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.col("head_len").alias("la"), F.col("len").alias("lb")).distinct()
         pairs = pairs if results is None else pairs.join(results.select("a", "b"), ["a", "b"], "left_anti")
         found = _verify(pairs, texts)
         results = found if results is None else results.unionByName(found)
@@ -197,20 +202,24 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
             break  # what is left in a bucket agrees in all entries
         # a bucket of two needs no division, nor one in which all comparisons held
         failed = results.where("NOT near").select(F.col("a").alias("head"), F.col("b").alias("key"))
-        unlike = checkpoint(members.where("key <> head AND n > 2").join(failed, ["head", "key"], "left_semi").select("bucket", "key"))
+        unlike = checkpoint(members.where("key <> head AND n > 2").join(failed, ["head", "key"], "left_semi").select("bucket", "key", "len"))
         if unlike.isEmpty():
             break
         open_buckets = unlike.select("bucket").distinct()
-        drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "bucket", "key").alias("h"), "key"))["key"] for i in range(MORE_HEADS)]
-        others = members.where("key <> head").join(open_buckets, "bucket", "left_semi").groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("others"))
-        tried = unlike.join(others, "bucket").select("key", F.explode("others").alias("other")).where("key <> other")
-        tried = tried.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct().join(results.select("a", "b"), ["a", "b"], "left_anti")
-        results = results.unionByName(_verify(tried, texts))
-        again = members.drop("head", "n").join(open_buckets, "bucket", "left_semi")
+        again = checkpoint(members.join(open_buckets, "bucket", "left_semi").drop("head_len", "n"))
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "bucket", "key").alias("h"), "key", "len")) for i in range(MORE_HEADS)]
+        others = again.where("key <> head").groupBy("bucket").agg(F.array(*drawn).alias("others"))
+        tried = unlike.join(others, "bucket").select("key", "len", F.explode("others").alias("o")).where("key <> o.key")
+        first = F.col("key") < F.col("o.key")
+        mine, other = F.struct(F.col("key").alias("k"), F.col("len").alias("l")), F.struct(F.col("o.key").alias("k"), F.col("o.len").alias("l"))
+        tried = tried.select(F.when(first, mine).otherwise(other).alias("x"), F.when(first, other).otherwise(mine).alias("y"))
+        tried = tried.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
+        known = results.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        results = results.unionByName(_verify(tried.join(known, ["a", "b"], "left_anti"), texts))
         more = (F.get("sketch", F.pmod(F.col("j") + i, F.lit(SKETCHES))) for i in range(depth, min(2 * depth, SKETCHES)))
-        finer = F.xxhash64("bucket", *more)
+        finer = again.drop("head").join(sketches.select("key", "sketch"), "key").withColumn("bucket", F.xxhash64("bucket", *more)).drop("sketch")
         depth = min(2 * depth, SKETCHES)
-        members = checkpoint(_stars(again.withColumn("bucket", finer)))
+        members = checkpoint(_stars(finer))
     return results.where("near").select("a", "b")
 
 
@@ -240,9 +249,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts as a number from 2**62 on that its text gives. Repeated rows are in one class, and all of them
     are marked kept if their id is the class's. An empty table gives an empty result.
     """
-    made = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch_batches, "doc_id long, key binary, sketch array<long>"))
+    made = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch_batches, "doc_id long, key binary, len long, sketch array<long>"))
     rows = made.select("doc_id", "key", F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("key"), 3)).alias("did"))
-    unique = made.dropDuplicates(["key"]).where(F.size("sketch") > 0).select("key", "sketch")
+    unique = checkpoint(made.dropDuplicates(["key"]).where(F.size("sketch") > 0).select("key", "len", "sketch"))
     roots = checkpoint(components(find_links(unique, docs)))
     per_key = rows.groupBy("key").agg(F.min("did").alias("low")).join(maybe_broadcast(roots, 96), "key", "left").withColumn("root", F.coalesce("root", "key"))
     per_key = checkpoint(per_key)
