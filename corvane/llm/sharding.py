@@ -67,7 +67,7 @@ def _tree(starts: Sequence[tuple[int, int]]) -> Column:
             return F.lit(lo)
         mid = (lo + hi) // 2
         k1, k2 = starts[mid]
-        below = (F.col("k1") < F.lit(k1)) | ((F.col("k1") == F.lit(k1)) & (F.col("k2") < F.lit(k2)))
+        below = (F.col("__k1") < F.lit(k1)) | ((F.col("__k1") == F.lit(k1)) & (F.col("__k2") < F.lit(k2)))
         return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(starts))
@@ -85,8 +85,8 @@ def _count(keys: DataFrame, opens: list[_Open], probes: int) -> dict[tuple[int,
     pick = lambda values: F.element_at(_longs(values), F.col("i"))
     second = pick([o.fixed is not None for o in distinct]) == 1
     found = (
-        at.withColumn("key", F.when(second, F.col("k2")).otherwise(F.col("k1")))
-        .where((F.col("key") < pick([o.hi for o in distinct])) & (~second | (F.col("k1") == pick([o.fixed or 0 for o in distinct]))))
+        at.withColumn("key", F.when(second, F.col("__k2")).otherwise(F.col("__k1")))
+        .where((F.col("key") < pick([o.hi for o in distinct])) & (~second | (F.col("__k1") == pick([o.fixed or 0 for o in distinct]))))
         .withColumns({"lo": pick([o.lo for o in distinct]), "step": pick([o.step(probes) for o in distinct])})
         .groupBy("i", F.expr("(key - lo) div step").alias("b"))
         .agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -103,7 +103,7 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.0005, probe
     At most a few rounds a key: every round divides an interval by ``probes``. Counted rows, not
     samples, decide; the driver gets parts * probes counts at most.
     """
-    total = keys.agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).first()
+    total = keys.agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("__k1").alias("lo"), F.max("__k1").alias("hi")).first()
     if not total["n"]:
         return []
     n, size = total["n"], total["s"]
@@ -152,19 +152,19 @@ def histogram_sort(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     made = {"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))}
-    keyed = docs.withColumns(made).withColumns({"k1": F.col("text_crc32"), "k2": F.greatest(F.lit(_MIN), F.least(F.lit(_MAX), F.coalesce(F.col(key).cast("long"), F.lit(_MIN))))})
-    splitters = find_splitters(checkpoint(keyed.select("k1", "k2", "size")), shards * pieces, tolerance)
+    keyed = docs.withColumns(made).withColumns({"__k1": F.col("text_crc32"), "__k2": F.greatest(F.lit(_MIN), F.least(F.lit(_MAX), F.coalesce(F.col(key).cast("long"), F.lit(_MIN))))})
+    splitters = find_splitters(checkpoint(keyed.select("__k1", "__k2", "size")), shards * pieces, tolerance)
     if not splitters:
-        return keyed.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("k1", "k2")
+        return keyed.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__k1", "__k2")
     below = [0, *(s.rows for s in splitters)]
     start = [below[i - i % pieces] if i - i % pieces < len(below) else below[-1] for i in range(len(below))]
     offsets = F.array(*(F.lit(b - s).cast("long") for b, s in zip(below, start, strict=True)))
-    ranged = keyed.withColumn("range", range_of(splitters))
-    order = Window.partitionBy("range").orderBy("k1", "k2")
+    ranged = keyed.withColumn("__range", range_of(splitters))
+    order = Window.partitionBy("__range").orderBy("__k1", "__k2")
     return (
-        ranged.withColumn("slot", F.element_at(offsets, F.col("range") + 1) + F.row_number().over(order) - 1)
-        .withColumn("shard", F.floor(F.col("range") / pieces).cast("int"))
-        .drop("k1", "k2", "range")
+        ranged.withColumn("slot", F.element_at(offsets, F.col("__range") + 1) + F.row_number().over(order) - 1)
+        .withColumn("shard", F.floor(F.col("__range") / pieces).cast("int"))
+        .drop("__k1", "__k2", "__range")
     )
 
 

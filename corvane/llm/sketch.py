@@ -90,7 +90,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], buckets: int | None
     return (
         led.join(heads, ["__range", "__last"], "left")
         .withColumn("__use", F.when(F.col("__last"), F.col("__head")).otherwise(F.col("__next")))
-        .select(*docs.columns, *(F.col("__use")[c].alias(f"next_{c}") for c in columns))
+        .select(*(c for c in docs.columns if c not in {f"next_{x}" for x in columns}), *(F.col("__use")[c].alias(f"next_{c}") for c in columns))
     )
 
 

@@ -22,6 +22,8 @@ DATE = "1970-01-01T00:00:00Z"  # for pages that were stored without a date
 
 _DROPPED = ("script", "style", "noscript", "template")
 _BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|title|article|nav|footer|header|section|aside|main|blockquote|pre|hr|dl|dt|dd"
+_RESPONSE = ("record_id", "target_uri", "warc_date", "status", "headers", "body")
+_DERIVED = ("record_type", "refers_to", "content_type", "content_length", "block_digest", "source_payload_digest", "block")
 _HTML = ("text/html", "application/xhtml+xml")
 
 
@@ -73,11 +75,11 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derivatives(found: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records, two rows a response at most.
 
-    Columns of ``found`` other than those of ``responses`` stay. A response of another content type than HTML
+    Columns of ``found`` other than those of ``responses`` stay, unless they bear a result column's name. A response of another content type than HTML
     or plain text, or of a null body, gets a metadata record alone; a null URI stays null and
     makes no outlink absolute; repeated responses give repeated records; an empty table gives an empty result.
     """
-    kept = [c for c in found.columns if c not in ("record_id", "target_uri", "warc_date", "status", "headers", "body")]
+    kept = [c for c in found.columns if c not in _RESPONSE + _DERIVED]
     payload = F.coalesce("body", F.lit(""))
     kind = F.lower(F.trim(F.regexp_extract("headers", r"(?im)^content-type:[ \t]*([^;\r\n]*)", 1)))
     convertible = F.col("body").isNotNull() & kind.isin(*_HTML, "text/plain")
