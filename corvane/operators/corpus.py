@@ -82,8 +82,6 @@ def gates(rows: DataFrame) -> DataFrame:
 
 def chunked_checksum(rows: DataFrame, value: Column, order: str, width: int = 1024) -> DataFrame:
     """One digest of a column in order: of the digests of runs of ``width`` ordinals, so that no group grows with the table."""
-    import math
-
     chunk = rows.select(F.floor(F.col(order) / width).cast("long").alias("__c0"), F.col(order).alias("__o"), value.alias("__v"))
     joined = lambda v, o: F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(o), F.col(v)))), lambda s: s[v]), "\n"), F.lit("\n")), 256)
     level = chunk.groupBy("__c0").agg(joined("__v", "__o").alias("__v"))
