@@ -3,7 +3,7 @@
 A text's k-mers are its five-word shingles, each labelled by which occurrence it is. Each of ``SKETCHES`` hash functions takes
 the ``TAKE`` smallest labelled k-mers, and the sketch entry hashes them in text order, so that moved passages
 change it. Texts that share an entry meet in a bucket; a bucket compares its members with the one that meets the most others (a star, not all pairs), and those
-that fail with a few others besides. A bucket in which a comparison fails is divided by the next one, two, four, ... sketch entries until each part
+that fail with a few others besides. A bucket in which a comparison fails is divided by the next three, then twelve sketch entries until each part
 agrees or no entry is left: no bucket is capped. Verification aligns the labelled k-mers within the band that
 the threshold allows: similarity is aligned / (a + b - aligned), where ``aligned`` is the longest chain of common
 labelled k-mers that ascends in both texts.
@@ -29,8 +29,9 @@ from ._common import checkpoint, maybe_broadcast, table
 SHINGLE = 5
 SKETCHES = 16
 TAKE = 2
-MORE_HEADS = 3  # members of a bucket that those unlike its head are compared with besides
+MORE_HEADS = 4  # members of a bucket that those unlike its head are compared with besides
 SIMILAR = 0.8
+PAIRS_AT_ONCE = 128
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -132,11 +133,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     np.seterr(over="ignore")
     for batch in batches:
         keys, rows, n = [], [], []
-        for text in batch.column("text").to_pylist():
-            keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest())
-            kmers = labelled_kmers(text)
-            n.append(len(kmers))
-            rows.append(sketch(kmers).view(np.int64))
+        for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+            for text in batch.slice(at, PAIRS_AT_ONCE).column("text").to_pylist():
+                keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest())
+                kmers = labelled_kmers(text)
+                n.append(len(kmers))
+                rows.append(sketch(kmers).view(np.int64))
         offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -158,8 +160,10 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return known[key]
 
     for batch in batches:
-        a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-        near = [aligned_similarity(kmers(*x), kmers(*y)) >= SIMILAR for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
+        near: list[bool] = []
+        for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+            a, b, ta, tb = (batch.slice(at, PAIRS_AT_ONCE).column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            near += [aligned_similarity(kmers(*x), kmers(*y)) >= SIMILAR for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
 
@@ -216,9 +220,9 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
         tried = tried.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
         known = results.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         results = results.unionByName(_verify(tried.join(known, ["a", "b"], "left_anti"), texts))
-        more = (F.get("sketch", F.pmod(F.col("j") + i, F.lit(SKETCHES))) for i in range(depth, min(2 * depth, SKETCHES)))
+        more = (F.get("sketch", F.pmod(F.col("j") + i, F.lit(SKETCHES))) for i in range(depth, min(4 * depth, SKETCHES)))
         finer = again.drop("head").join(sketches.select("key", "sketch"), "key").withColumn("bucket", F.xxhash64("bucket", *more)).drop("sketch")
-        depth = min(2 * depth, SKETCHES)
+        depth = min(4 * depth, SKETCHES)
         members = checkpoint(_stars(finer))
     return results.where("near").select("a", "b")
 
