@@ -73,7 +73,11 @@ def _log_factorial(of: str):
 
 def external(rows: DataFrame, by: list[str], true: str = "t", pred: str = "k", guard: bool = True) -> DataFrame:
     """ari, ami, nmi, homogeneity, completeness, v_measure; with ``guard`` all 0 if a side has fewer than two labels."""
-    cells = contingency(rows, by, true, pred).persist()  # label pairs, not rows; six aggregations start from them
+    return external_of(contingency(rows, by, true, pred).persist(), by, guard)  # label pairs, not rows; six aggregations start from them
+
+
+def external_of(cells: DataFrame, by: list[str], guard: bool = True) -> DataFrame:
+    """The same from a contingency table."""
     x = information(cells, by).join(adjusted_rand(cells, by), by).join(adjusted_mutual_information(cells, by).select(*by, "ami"), by)
     names = ("ari", "ami", "nmi", "homogeneity", "completeness", "v_measure")
     few = (F.col("n_true") < 2) | (F.col("n_pred") < 2)
@@ -82,7 +86,11 @@ def external(rows: DataFrame, by: list[str], true: str = "t", pred: str = "k", g
 
 def pair_counts(rows: DataFrame, by: list[str], cluster: str = "k", mask: str = "mask") -> DataFrame:
     """Exact pairwise agreement of clusters and shared labels, from counts of (cluster, mask): never from pairs of rows."""
-    g = rows.groupBy(*by, F.col(cluster).alias("k"), F.col(mask).alias("m")).agg(F.count("*").alias("n"))
+    return pair_counts_of(rows.groupBy(*by, F.col(cluster).alias("k"), F.col(mask).alias("m")).agg(F.count("*").alias("n")), by)
+
+
+def pair_counts_of(g: DataFrame, by: list[str]) -> DataFrame:
+    """The same from counts n of (k, m)."""
     t = g.groupBy(*by, "m").agg(F.sum("n").alias("n"))
 
     def shared(x: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,8 +122,10 @@ def subsets(rows: DataFrame, macros: str = "macros") -> DataFrame:
 
 def suite(rows: DataFrame, by: list[str], true: str = "t", pred: str = "k", mask: str = "mask") -> DataFrame:
     """All metrics of each partition key in one grouped pass over the contingency and mask counts."""
-    sizes = rows.groupBy(*by, F.col(pred).alias("k")).agg(F.count("*").alias("s"))
+    counts = rows.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("k"), F.col(mask).alias("m")).agg(F.count("*").alias("n")).persist()
+    summed = lambda *keys: counts.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
+    sizes = summed("k").withColumnRenamed("n", "s")
     totals = sizes.groupBy(*by).agg(F.sum("s").alias("rows"), F.count("*").alias("cluster_count"), F.max("s").alias("top"))
     ent = sizes.join(totals, by).groupBy(*by).agg((-F.sum(F.col("s") / F.col("rows") * F.log2(F.col("s") / F.col("rows")))).alias("cluster_size_entropy"))
     base = totals.withColumn("largest_cluster_share", F.col("top") / F.col("rows")).drop("top").join(ent, by)
-    return base.join(external(rows, by, true, pred), by).join(pair_counts(rows, by, pred, mask), by)
+    return base.join(external_of(summed("t", "k"), by), by).join(pair_counts_of(summed("k", "m"), by), by)
