@@ -5,7 +5,8 @@ sample, of the word itself (the lexicon); learned transitions join neighbouring
 algorithm gives each word's posterior, so that code-switched text gets a label for each word, and a document's language is the one with
 the largest posterior mass over all its words; the score is that language's mean posterior.
 
-Training takes a bounded sample: at most ``DOCS_A_LANG`` documents of each language (the lowest digests of id and text), and ``SEGMENTS``
+Training takes a bounded sample: at most ``DOCS_A_LANG`` documents of each language (the lowest digests of id and text) of at most
+``TRAIN_CHARS`` characters, which bounds what reaches the driver, and ``SEGMENTS``
 segments of ``SEGMENT_WORDS`` words spread evenly over each text. Half of the training sequences are spliced from
 two languages, so that transitions between languages are seen. Prediction covers every word of every text; texts
 are labelled in consecutive runs of ``RUN_WORDS`` words, so that long ones need no long recursion.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ._common import table
 
 DOCS_A_LANG = 400
+TRAIN_CHARS = 50_000
 SEGMENTS = 6
 SEGMENT_WORDS = 24
 RUN_WORDS = 256
@@ -238,7 +240,7 @@ class Labeller:
 
 def fit(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG) -> Crf:
     """Train on a bounded sample of the documents that are not held out and have a language and a letter."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number a language
     digest = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     share = F.lit(0.0)
