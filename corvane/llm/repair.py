@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,9 @@ from ._common import ensure_checkpoint_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 1 << 18
-ROUNDS = 6
+ROUNDS = 5
 FREQUENT = 8
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 600_000
 LONG_CHUNK = 256
 DOCS_AT_ONCE = 128
 _NO_ID = -(1 << 63)
@@ -51,6 +50,16 @@ _HEAD = struct.Struct("<4sIIQQQ")
 _TWO_BLANKS = re.compile(r"\s\s|\x01")
 
 
+_RARE_BLANKS = "\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _blanks_meet(t: str) -> bool:
+    """Whether two white space characters are neighbours, or the split mark occurs."""
+    if t.isascii() and not any(c in t for c in _RARE_BLANKS):
+        return "  " in t or "\n\n" in t or "\n " in t or " \n" in t
+    return _TWO_BLANKS.search(t) is not None
+
+
 class ChunkTable:
     """Encodes texts as the library does, chunk by chunk."""
 
@@ -88,23 +97,36 @@ class ChunkTable:
         if not self.splits:
             yield from map(self._whole, texts)
             return
-        split = [None if _TWO_BLANKS.search(t) else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") for t in texts]
-        wanted = set(chain.from_iterable(p for p in split if p))
-        new = wanted.difference(self.chunks)
+        split = [None if _blanks_meet(t) else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") for t in texts]
+        get = self.chunks.get
+        found = [None if p is None else list(map(get, p)) for p in split]
+        new: set[str] = set()
+        for parts, got in zip(split, found, strict=True):
+            if got is not None and None in got:
+                new.update(c for c, g in zip(parts, got, strict=True) if g is None)
+        if new:
+            self._learn(new)
+            get = self.chunks.get
+        for text, parts, got in zip(texts, split, found, strict=True):
+            if got is None:
+                yield self._whole(text)
+                continue
+            if None in got:
+                got = [g if g is not None else get(c) for c, g in zip(parts, got, strict=True)]
+                if None in got:  # a long chunk, which the table does not keep
+                    yield self._whole(text)
+                    continue
+            yield np.frombuffer(b"".join(got), np.uint16)
+
+    def _learn(self, new: set[str]) -> None:
         if len(self.chunks) + len(new) > TABLE_CHUNKS:
-            self.older, self.chunks, new = self.chunks, {}, wanted
+            self.older, self.chunks = self.chunks, {}
         seen = new & self.older.keys()
         self.chunks |= {c: self.older[c] for c in seen}
-        new -= seen
-        self.chunks |= {c: b"" if not c else self._whole(c).astype(np.uint16).tobytes() for c in new & {"", "\n", " "}}
-        new -= {"", "\n", " "}
-        long = {c for c in new if len(c) > LONG_CHUNK}
-        self.chunks |= self._segment([c for c in new if c not in long])
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None or (long and not long.isdisjoint(parts)):
-                yield self._whole(text)
-            else:
-                yield np.frombuffer(b"".join([self.chunks[c] for c in parts]), np.uint16).astype(np.uint32)
+        new = new - seen
+        alone = new & {"", "\n", " "}
+        self.chunks |= {c: b"" if not c else self._whole(c).astype(np.uint16).tobytes() for c in alone}
+        self.chunks |= self._segment([c for c in new - alone if len(c) <= LONG_CHUNK])
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -214,6 +236,7 @@ class Shard:
     rules: np.ndarray
     lengths: np.ndarray
     symbols: np.ndarray
+    table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def read(cls, raw: bytes) -> Shard:
@@ -226,17 +249,27 @@ class Shard:
             at += found[-1].nbytes
         return cls(vocabulary, found[0], found[1].astype(np.int64), found[2].astype(np.int64), np.stack((found[3], found[4]), 1), found[5], found[6])
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of some symbols."""
-        s = symbols.astype(np.int64)
-        while (rule := s >= self.vocabulary).any():
+    def _expand_rules(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): every symbol's ids side by side, and where each symbol's are."""
+        s, size = np.arange(self.vocabulary, self.vocabulary + len(self.rules)), self.vocabulary
+        while (rule := s >= size).any():
             at = np.cumsum(1 + rule) - 1 - rule
             out = np.empty(len(s) + int(rule.sum()), np.int64)
-            pairs = self.rules[s[rule] - self.vocabulary]
+            pairs = self.rules[s[rule] - size]
             out[at[~rule]] = s[~rule]
             out[at[rule]], out[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
             s = out
-        return s.astype(np.uint32)
+        length = np.concatenate((np.ones(size, np.int64), self.lengths.astype(np.int64)))
+        return np.concatenate((np.arange(size), s)).astype(np.uint32), np.cumsum(length) - length, length
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids of some symbols."""
+        if self.table is None:
+            self.table = self._expand_rules()
+        ids, start, length = self.table
+        n = length[symbols]
+        ends = np.cumsum(n)
+        return ids[np.repeat(start[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, i: int) -> np.ndarray:
         """The i-th document's ids, from its own symbols alone."""
@@ -275,7 +308,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_ids:
                 some = batch.slice(at, DOCS_AT_ONCE)
                 for key, ids in zip(some.column("doc_id").to_pylist(), chunks.encode(some.column("text").to_pylist()), strict=True):
                     keys.append(key)
-                    kept.append(np.append(ids, np.uint32(END_ID)))
+                    kept.append(np.append(ids, ids.dtype.type(END_ID)))
                     n += len(kept[-1])
                     if n >= shard_ids:
                         yield flush()
