@@ -2,9 +2,10 @@
 
 A text's k-mers are its five-word shingles, each labelled by which occurrence it is. Each of ``SKETCHES`` hash functions takes
 the ``TAKE`` smallest labelled k-mers, and the sketch entry hashes them in text order, so that moved passages
-change it. Texts that share an entry meet in a bucket; a bucket compares its members with the one that meets the most others (a star, not all pairs), and those
-that fail with a few others besides. A bucket in which a comparison fails is divided by the next three, then twelve sketch entries until each part
-agrees or no entry is left: no bucket is capped. Verification aligns the labelled k-mers within the band that
+change it. Texts that share an entry meet in a bucket. First a bucket compares its members with the one that meets the most others (a
+star). Then buckets whose members are in several components compare all pairs of members that are not connected yet: common k-mers are
+counted for all pairs at once, and those with enough of them are verified. No bucket is capped, so all links between texts
+that share an entry are found, or the texts are connected without them. Verification aligns the labelled k-mers within the band that
 the threshold allows: similarity is aligned / (a + b - aligned), where ``aligned`` is the longest chain of common
 labelled k-mers that ascends in both texts.
 
@@ -29,7 +30,7 @@ from ._common import checkpoint, maybe_broadcast, table
 SHINGLE = 5
 SKETCHES = 16
 TAKE = 2
-MORE_HEADS = 4  # members of a bucket that those unlike its head are compared with besides
+BLOCK_WORDS = 1 << 20  # k-mers of a bucket that one task holds; larger buckets are dealt over tasks
 SIMILAR = 0.8
 PAIRS_AT_ONCE = 128
 
@@ -181,12 +182,105 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _stars(members: DataFrame) -> DataFrame:
     """Members of buckets that hold at least two, with the bucket's head (the best connected member) and its size."""
     heads = members.groupBy("bucket").agg(F.max(F.struct("ties", "key", "len")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return members.join(heads, "bucket").select("bucket", "key", "len", "j", "ties", F.col("head.key").alias("head"), F.col("head.len").alias("head_len"), "n")
+    return members.join(heads, "bucket").select("bucket", "key", "len", F.col("head.key").alias("head"), F.col("head.len").alias("head_len"), "n")
+
+
+class _Block:
+    """Members of one part of a bucket, and the places of their common k-mers."""
+
+    def __init__(self, members: list[tuple[bytes, bytes, bool, np.ndarray]]) -> None:
+        self.members = members
+        self.parent: dict[bytes, bytes] = {}
+        self.sizes = np.array([len(m[3]) for m in members])
+        flat = np.concatenate([m[3] for m in members])
+        order = np.argsort(flat, kind="stable")
+        ranked = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        self.kmers, self.first, self.last = ranked[first], first, np.append(first[1:], len(ranked))
+        self.owner = np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def root(self, x: bytes) -> bytes:
+        while (y := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(y, y)
+            x = y
+        return x
+
+    def links(self, key: bytes, root: bytes, kmers: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links from a text outside the main component to members that it is not connected with."""
+        at = np.minimum(np.searchsorted(self.kmers, kmers), len(self.kmers) - 1)
+        at = at[self.kmers[at] == kmers]
+        first, n = self.first[at], self.last[at] - self.first[at]
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[places], minlength=len(self.members))
+        out = []
+        for i in np.flatnonzero(common >= SIMILAR * (self.sizes + len(kmers) - common)).tolist():
+            other, its_root, left, its_kmers = self.members[i]
+            if left and other <= key:
+                continue  # the other one of the two asks
+            x, y = self.root(root), self.root(its_root)
+            if x != y and aligned_similarity(kmers, its_kmers) >= SIMILAR:
+                self.parent[x] = y
+                out.append((key, other))
+        return out
+
+
+def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows in the order of bucket and part: the part's own members, then those of other parts that ask it."""
+    np.seterr(over="ignore")
+    names = ("bucket", "part", "guest", "key", "root", "left", "text")
+    at, members, block = None, [], None
+
+    def own() -> list[tuple[bytes, bytes]]:
+        nonlocal block
+        block = _Block(members)
+        return [x for key, root, left, kmers in members if left for x in block.links(key, root, kmers)]
+
+    def made(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        links: list[tuple[bytes, bytes]] = []
+        for start in range(0, batch.num_rows, PAIRS_AT_ONCE):
+            few = batch.slice(start, PAIRS_AT_ONCE)
+            for bucket, part, guest, key, root, left, text in zip(*(few.column(c).to_pylist() for c in names), strict=True):
+                if at != (bucket, part):
+                    if members and block is None:
+                        links += own()
+                    at, members, block = (bucket, part), [], None
+                if not guest:
+                    members.append((key, root, left, labelled_kmers(text)))
+                elif members:
+                    if block is None:
+                        links += own()
+                    links += block.links(key, root, labelled_kmers(text))
+        yield made(links)
+    if members and block is None:
+        yield made(own())
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join all components that the links within buckets join; ``roots`` are the components so far.
+
+    Members outside a bucket's largest component meet all others of it, each in the part that holds it.
+    """
+    # the one pair of a bucket of two has been compared
+    met = members.where("n > 2").select("bucket", "key", "len").join(maybe_broadcast(roots, 96), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    met = checkpoint(met)
+    per = met.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("words").alias("words")).where("roots > 1")
+    per = checkpoint(per.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    rows = met.join(maybe_broadcast(per, 64), "bucket").withColumns({"left": F.col("root") != F.col("main"), "mine": mine})
+    rows = rows.withColumn("part", F.explode(F.when(F.col("left"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
+    rows = rows.select("bucket", "part", (F.col("part") != F.col("mine")).alias("guest"), "key", "root", "left").join(texts, "key")
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest")
+    return checkpoint(rows.mapInArrow(_rest_batches, "a binary, b binary"))
 
 
 def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between keys of different texts; ``sketches`` has key, len and sketch once for each key."""
-    met = sketches.select("key", "len", F.posexplode("sketch").alias("j", "v")).select("key", "len", F.xxhash64("j", "v").alias("bucket"), "j")
+    met = sketches.select("key", "len", F.posexplode("sketch").alias("j", "v")).select("key", "len", F.xxhash64("j", "v").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(met.join(shared, "bucket"))
     # the text that meets the most others is compared with them: of copies of one original, the one least changed
@@ -195,36 +289,9 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = checkpoint(members.select("key").distinct())
     texts = checkpoint(keyed.join(maybe_broadcast(wanted, 48), "key", "left_semi").dropDuplicates(["key"]))
-    results: DataFrame | None = None
-    depth = 1
-    while True:
-        pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.col("head_len").alias("la"), F.col("len").alias("lb")).distinct()
-        pairs = pairs if results is None else pairs.join(results.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verify(pairs, texts)
-        results = found if results is None else results.unionByName(found)
-        if depth == SKETCHES:
-            break  # what is left in a bucket agrees in all entries
-        # a bucket of two needs no division, nor one in which all comparisons held
-        failed = results.where("NOT near").select(F.col("a").alias("head"), F.col("b").alias("key"))
-        unlike = checkpoint(members.where("key <> head AND n > 2").join(failed, ["head", "key"], "left_semi").select("bucket", "key", "len"))
-        if unlike.isEmpty():
-            break
-        open_buckets = unlike.select("bucket").distinct()
-        again = checkpoint(members.join(open_buckets, "bucket", "left_semi").drop("head_len", "n"))
-        drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "bucket", "key").alias("h"), "key", "len")) for i in range(MORE_HEADS)]
-        others = again.where("key <> head").groupBy("bucket").agg(F.array(*drawn).alias("others"))
-        tried = unlike.join(others, "bucket").select("key", "len", F.explode("others").alias("o")).where("key <> o.key")
-        first = F.col("key") < F.col("o.key")
-        mine, other = F.struct(F.col("key").alias("k"), F.col("len").alias("l")), F.struct(F.col("o.key").alias("k"), F.col("o.len").alias("l"))
-        tried = tried.select(F.when(first, mine).otherwise(other).alias("x"), F.when(first, other).otherwise(mine).alias("y"))
-        tried = tried.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct()
-        known = results.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        results = results.unionByName(_verify(tried.join(known, ["a", "b"], "left_anti"), texts))
-        more = (F.get("sketch", F.pmod(F.col("j") + i, F.lit(SKETCHES))) for i in range(depth, min(4 * depth, SKETCHES)))
-        finer = again.drop("head").join(sketches.select("key", "sketch"), "key").withColumn("bucket", F.xxhash64("bucket", *more)).drop("sketch")
-        depth = min(4 * depth, SKETCHES)
-        members = checkpoint(_stars(finer))
-    return results.where("near").select("a", "b")
+    pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.col("head_len").alias("la"), F.col("len").alias("lb")).distinct()
+    links = checkpoint(_verify(pairs, texts).where("near").select("a", "b"))
+    return links.unionByName(_rest(members, checkpoint(components(links)), texts))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -467,6 +467,25 @@ def test_near_duplicates_against_all_pairs(spark, results, docs):
     assert found == classes_by_hand([(i, t) for i, t, _ in docs])
 
 
+def edited_copies(n, seed=1):
+    """Copies of a base that is not among them, each with 3 to 6 of its 200 words changed."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(3, 6)):
+            w[at] = f"e{rng.randrange(10**9)}"
+        yield i, " ".join(w)
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 5000])
+def test_members_unlike_the_head_find_each_other(spark, monkeypatch, block_words):
+    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", block_words, raising=False)
+    rows = list(edited_copies(500))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_by_hand(rows)
+
+
 def test_alignment_counts_the_longest_chain():
     a = np.arange(100, dtype=np.uint64)
     b = np.concatenate((a[50:], a[:50]))
