@@ -233,21 +233,28 @@ def hdbscan_labels(v: np.ndarray, min_cluster_size: int, min_samples: int | None
 
 
 def grouped(vectors: DataFrame, configs: DataFrame) -> DataFrame:
-    """(config_id, id, cluster) of linkage methods: ``configs`` has config_id, method, size.
+    """(config_id, id, cluster, reason) of linkage methods: ``configs`` has config_id, method, size.
 
-    A group above EXACT_ROWS rows is an error, not a sample: those methods need all distances at once.
+    A configuration that cannot run is one row with its reason, without id and cluster. Above EXACT_ROWS rows that is all of them, and
+    no sample is taken: those methods need all distances at once.
     """
+    schema = "config_id long, id long, cluster long, reason string"
     n = vectors.count()
     if n > EXACT_ROWS:
-        raise ValueError(f"{n} rows; linkage methods take {EXACT_ROWS} at most: cluster the centres of a k-means first")
+        reason = f"{n} rows; linkage methods take {EXACT_ROWS} at most: cluster the centres of a k-means first"
+        return configs.select("config_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("cluster"), F.lit(reason).alias("reason"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        v, method, size = np.stack(pdf["v"].to_numpy()), pdf["method"].iloc[0], int(pdf["size"].iloc[0])
-        found = average_linkage(v, size) if method == "agglomerative" else hdbscan_labels(v, size, leaf=method == "hdbscan_leaf")
-        return pd.DataFrame({"config_id": pdf["config_id"].iloc[0], "id": pdf["id"], "cluster": found})
-
-    return vectors.crossJoin(F.broadcast(configs)).groupBy("config_id").applyInPandas(run, "config_id long, id long, cluster long")
+        config_id, method, size = int(pdf["config_id"].iloc[0]), pdf["method"].iloc[0], int(pdf["size"].iloc[0])
+        try:
+            v = np.stack(pdf["v"].to_numpy())
+            found = average_linkage(v, size) if method == "agglomerative" else hdbscan_labels(v, size, leaf=method == "hdbscan_leaf")
+        except Exception as e:  # the other configurations go on
+            return pd.DataFrame({"config_id": [config_id], "id": pd.array([None], "Int64"), "cluster": pd.array([None], "Int64"), "reason": [f"{type(e).__name__}: {e}"]})
+        return pd.DataFrame({"config_id": config_id, "id": pdf["id"], "cluster": found, "reason": None})
+
+    return vectors.crossJoin(F.broadcast(configs)).groupBy("config_id").applyInPandas(run, schema)
 
 
 def centroids(rows: DataFrame, label: str = "cluster") -> DataFrame:

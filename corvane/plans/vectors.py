@@ -174,24 +174,28 @@ def stability_grid(spark, sf_dir):
 
 @query()
 def cluster_search(spark, sf_dir):
-    """Runs of four methods scored in one grouped pass, best first; failures are rows with a reason."""
+    """Runs of four methods scored in one grouped pass, best first; a linkage run that cannot be made is a row with its reason and a score of -999."""
     from functools import reduce
 
     from ..operators import metrics
 
     v = vectors(spark, sf_dir)
     graph = knn.edges(knn.knn(v, K))
+    linkage = [(10, "agglomerative", 12), (11, "agglomerative", 20), (20, "hdbscan", 10)]
+    configs = _configs(spark, linkage, "method string, size int")
+    linked = cluster.grouped(v.select("id", "v"), configs).join(F.broadcast(configs.select("config_id", "method")), "config_id").persist()
     runs = [
         cluster.leiden(graph, _configs(spark, [(i, g, 7) for i, g in enumerate((0.5, 1.0, 2.0))], "gamma double, seed long")).withColumn("method", F.lit("leiden")),
-        cluster.grouped(v.select("id", "v"), _configs(spark, [(10, "agglomerative", 12), (11, "agglomerative", 20)], "method string, size int")).withColumn("method", F.lit("agglomerative")),
-        cluster.grouped(v.select("id", "v"), _configs(spark, [(20, "hdbscan", 10)], "method string, size int")).withColumn("method", F.lit("hdbscan")),
+        linked.where("reason IS NULL").drop("reason"),
         *(cluster.kmeans(v, k).select(F.lit(30 + k).cast("long").alias("config_id"), "id", F.col("cluster").cast("long").alias("cluster"), F.lit("kmeans").alias("method")) for k in (8, 12)),
     ]
     rows = reduce(lambda a, b: a.unionByName(b), runs).join(v.select("id", F.col("cluster").alias("t")), "id").withColumns({"k": F.col("cluster"), "mask": F.expr("shiftleft(1L, CAST(t AS INT))")}).persist()
     noise = rows.groupBy("config_id", "method").agg(F.avg((F.col("cluster") == -1).cast("double")).alias("noise_share"))
     scored = metrics.suite(rows, ["config_id"]).join(noise, "config_id")
     score = fn.balanced_score(*(F.col(c) for c in ("ari", "v_measure", "ami", "f1", "cluster_count", "largest_cluster_share", "noise_share")))
-    return rounded(scored.select("config_id", "method", "cluster_count", "largest_cluster_share", "noise_share", "ari", "ami", "v_measure", "f1", score.alias("score"))).orderBy(F.desc("score"), "config_id")
+    scored = rounded(scored.select("config_id", "method", "cluster_count", "largest_cluster_share", "noise_share", "ari", "ami", "v_measure", "f1", score.alias("score"), F.lit(None).cast("string").alias("reason")))
+    failed = linked.where("reason IS NOT NULL").select("config_id", "method", F.lit(-999.0).alias("score"), "reason")
+    return scored.unionByName(failed, allowMissingColumns=True).orderBy(F.desc("score"), "config_id")
 
 
 @query()

@@ -47,3 +47,13 @@ def test_pairs_are_of_their_kind(spark):
     for r in found:
         assert r["a"] < r["b"]
         assert bool(macros[r["a"]] & macros[r["b"]]) == (r["y"] == 1)
+
+
+def test_linkage_runs_that_cannot_be_made_are_rows(spark, monkeypatch):
+    from corvane.operators import cluster
+
+    monkeypatch.setattr(cluster, "EXACT_ROWS", 10)
+    got = {r["config_id"]: r for r in QUERIES["cluster_search"](spark, SMALL).collect()}
+    assert {i for i, r in got.items() if r["score"] == -999 and "at most" in r["reason"]} == {10, 11, 20}
+    assert {i for i, r in got.items() if r["reason"] is None} == {0, 1, 2, 38, 42}
+    assert all(r["id"] is None and r["reason"] for q in ("agglomerative", "hdbscan") for r in QUERIES[q](spark, SMALL).collect())
