@@ -417,6 +417,16 @@ def test_every_long_shared_span_is_found(spark):
         assert got[i] == len(hit)
 
 
+def test_hit_spans_are_cut_out_of_kept_documents(spark):
+    item = " ".join(f"bench{i}" for i in range(15))
+    own = " ".join(f"Own{i}é," for i in range(400))
+    rows = [(1, f"{own}\n({item.replace(' ', ', ').upper()})\n{own}", 7), (2, f"{own}\n{item}", 7), (3, own, 7), (4, item, 7), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontaminate.stage(docs, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()}
+    want = f"{own}\n()\n{own}"
+    assert got == {1: (want, len(want)), 2: (f"{own}\n", len(own) + 1), 3: (own, 7), 5: (None, None)}
+
+
 # 10 near duplicates
 
 
