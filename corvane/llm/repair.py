@@ -2,19 +2,20 @@
 
 Documents are tokenised in ascending doc_id order, each followed by the end id, and cut into shards of about ``SHARD_IDS`` ids. In
 a shard, frequent pairs of neighbouring symbols are replaced by new symbols, round after round, over
-the symbols of the round before, until no pair is frequent or ``ROUNDS`` is reached; a pair never spans two documents. The file of a
+the symbols of the round before, until no pair stands ``FREQUENT`` times; a pair never spans two documents. The file of a
 shard holds its rules, each rule's expansion length, the symbols and where each document begins, so one document, or any run of
 ids, is decoded without the rest.
 
 A file is a binary value of a Parquet table in the shared folder, beside its range number and order: any store that Spark reaches holds it.
 
-File layout (little-endian): ``CRPG``, u32 version, u32 vocabulary, u64 documents, u64 rules, u64 symbols; i64 doc_id of each
-document (the lowest i64 for null); u64 first symbol of each document and the end; u64 first id of each document and the end;
+File layout (little-endian): ``CRPG``, u32 version, u32 vocabulary, u64 documents, u64 rules, u64 symbols; u8 of each document, 1 if its doc_id
+is null; i64 doc_id of each document; u64 first symbol of each document and the end; u64 first id of each document and the end;
 left and right of each rule; u32 expansion length of each rule; symbols. Symbols, left and right are u16 if vocabulary and rules
 together allow it, u32 else.
 
-Pre-tokens cannot span a space or line feed between two other characters, so a text without neighbouring white space is its chunks, and
-each distinct chunk of a batch is encoded once by the library; all other texts are encoded whole.
+Pre-tokens cannot span a space or line feed between two other characters, so a text is its chunks between these, one after the other. Each
+worker keeps a table of the ids of distinct chunks; new ones are encoded by the library, and those of letters with punctuation after them by the
+library's BPE model, a pre-token at a time. All the rest works on arrays.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,100 +35,149 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._chunks import IdTable, digests, slices, text_bytes
 from ._common import ensure_checkpoint_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 1 << 18
-ROUNDS = 5
 FREQUENT = 8
-TABLE_CHUNKS = 600_000
-LONG_CHUNK = 256
-DOCS_AT_ONCE = 128
-_NO_ID = -(1 << 63)
-_HASH = np.int64(-7046029254386353131)
+TABLE_CHUNKS = 2_000_000  # bound on the memory of a worker's table: it costs time alone
+BYTES_AT_ONCE = 4 << 20
 _MAGIC = b"CRPG"
 _HEAD = struct.Struct("<4sIIQQQ")
-_TWO_BLANKS = re.compile(r"\s\s|\x01")
-
-
-_RARE_BLANKS = "\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-
-
-def _blanks_meet(t: str) -> bool:
-    """Whether two white space characters are neighbours, or the split mark occurs."""
-    if t.isascii() and not any(c in t for c in _RARE_BLANKS):
-        return "  " in t or "\n\n" in t or "\n " in t or " \n" in t
-    return _TWO_BLANKS.search(t) is not None
+#: By byte: 1 for a blank or line feed, 2 for other ASCII white space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+_CLASS[[10, 32]] = 1
+_LETTERS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level BPE: itself if it is visible, one from 256 on else."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + i) for i in range(256))
+    return {b: chr(b) if b in seen else next(rest) for b in range(256)}
+
+
+def _white(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a white space character."""
+    white = _CLASS[raw] > 0
+    if len(raw) > 2:
+        wide = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+        wide = wide[wide < len(raw) - 1]
+        lead, second = raw[wide], raw[wide + 1]
+        two = wide[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        white[two] = white[two + 1] = True
+        wide, lead, second = (x[wide < len(raw) - 2] for x in (wide, lead, second))
+        third = raw[wide + 2]
+        spaces = (lead == 0xE1) & (second == 0x9A) & (third == 0x80)
+        spaces |= (lead == 0xE2) & (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
+        spaces |= (lead == 0xE2) & (second == 0x81) & (third == 0x9F)
+        spaces |= (lead == 0xE3) & (second == 0x80) & (third == 0x80)
+        three = wide[spaces]
+        white[three] = white[three + 1] = white[three + 2] = True
+    return white
+
+
+def chunk_spans(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each chunk starts, and how many each text has.
+
+    A blank or line feed with other characters on both sides begins a chunk, and so does what follows such a line feed.
+    """
+    white = np.ones(len(raw) + 2, bool)
+    white[1:-1] = _white(raw)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[begin] = True
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    at = at[~white[at] & ~white[at + 2] & ~edge[at] & ~edge[at + 1]]
+    cut = edge
+    cut[at] = True
+    cut[at[raw[at] == 10] + 1] = True
+    cut[len(raw)] = False
+    starts = np.flatnonzero(cut)
+    return starts, np.diff(np.searchsorted(starts, begin))
 
 
 class ChunkTable:
-    """Encodes texts as the library does, chunk by chunk."""
+    """Encodes texts as the library does, each distinct chunk once as long as the table holds it."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most: int = TABLE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
-        self.line_feed = self.model.encode("\n", add_special_tokens=False).ids
+        self.bpe = self.model.model
         self.size = self.model.get_vocab_size(with_added_tokens=True)
-        probe = "One, two\nthree four."
-        self.splits = len(self.line_feed) == 1 and self.size <= 1 << 16
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        if self.splits:
-            self.splits = list(self.encode([probe]))[0].tolist() == self.model.encode(probe, add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _segment(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks without line feeds: encoded as the lines of one text, then parted at the line feeds' id."""
-        if not chunks:
-            return {}
-        ids = np.array(self.model.encode("\n".join(chunks), add_special_tokens=False).ids, np.uint16)
-        cuts = np.flatnonzero(ids == self.line_feed[0])
-        if len(cuts) != len(chunks) - 1:
-            return {c: self._whole(c).astype(np.uint16).tobytes() for c in chunks}
-        starts, ends = np.concatenate(([0], cuts + 1)) * 2, np.concatenate((cuts, [len(ids)])) * 2
-        raw = ids.tobytes()
-        return {c: raw[s:e] for c, s, e in zip(chunks, starts.tolist(), ends.tolist(), strict=True)}
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.table = IdTable(most, self.kind)
+        self.letters = _byte_letters()
+        probe = "One, two\nthree four. It's été; naïve (ok)\n42nd"
+        parts = [" two", ",", " été", "One", "\n", " naïve"]
+        whole = self.model.encode(probe, add_special_tokens=False).ids
+        self.direct = [self._letters(p) for p in parts] == [self.model.encode(p, add_special_tokens=False).ids for p in parts]
+        self.splits = True
+        self.splits = np.concatenate(list(self.encode([probe]))).tolist() == whole
+
+    def _letters(self, part: str) -> list[int]:
+        """Ids of one pre-token, by the library's BPE alone."""
+        spelt = part.replace(" ", self.letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.bpe.tokenize(spelt)]
+
+    def _learned(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk: letters and the punctuation after them are two pre-tokens, other chunks are for the whole library."""
+        out: list[list[int] | None] = [None] * len(chunks)
+        known: dict[str, list[int]] = {"": []}
+        if self.direct:
+            for i, m in enumerate(map(_LETTERS.fullmatch, chunks)):
+                if m:
+                    word, mark = m.groups()
+                    if word not in known:
+                        known[word] = self._letters(word)
+                    if mark not in known:
+                        known[mark] = self._letters(mark)
+                    out[i] = known[word] + known[mark] if mark else known[word]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _rows(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table's row of each chunk, learned where it is new."""
+        h = digests(raw, starts, ends)
+        rows = self.table.find(h)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            if self.table.make_room(len(new)):
+                rows = self.table.find(h)
+                missing = np.flatnonzero(rows < 0)
+                new, first = np.unique(h[missing], return_index=True)
+            self.table.mark(rows[rows >= 0])
+            first = missing[first]
+            body = raw.tobytes()
+            ids = self._learned([body[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            self.table.add(new, np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)))
+            rows[missing] = self.table.find(h[missing])
+        else:
+            self.table.mark(rows)
+        return rows
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts side by side, and how many each text has; null counts as empty."""
+        if not self.splits:
+            found = self.model.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)
+            n = np.array([len(f.ids) for f in found], np.int64)
+            return np.fromiter(chain.from_iterable(f.ids for f in found), self.kind, n.sum()), n
+        raw, begin = text_bytes(column)
+        starts, chunks = chunk_spans(raw, begin)
+        rows = self._rows(raw, starts, np.append(starts[1:], len(raw))) if len(starts) else np.empty(0, np.int32)
+        ids, size = self.table.ids(rows)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(chunks)))])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if not self.splits:
-            yield from map(self._whole, texts)
-            return
-        split = [None if _blanks_meet(t) else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") for t in texts]
-        get = self.chunks.get
-        found = [None if p is None else list(map(get, p)) for p in split]
-        new: set[str] = set()
-        for parts, got in zip(split, found, strict=True):
-            if got is not None and None in got:
-                new.update(c for c, g in zip(parts, got, strict=True) if g is None)
-        if new:
-            self._learn(new)
-            get = self.chunks.get
-        for text, parts, got in zip(texts, split, found, strict=True):
-            if got is None:
-                yield self._whole(text)
-                continue
-            if None in got:
-                got = [g if g is not None else get(c) for c, g in zip(parts, got, strict=True)]
-                if None in got:  # a long chunk, which the table does not keep
-                    yield self._whole(text)
-                    continue
-            yield np.frombuffer(b"".join(got), np.uint16)
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > TABLE_CHUNKS:
-            self.older, self.chunks = self.chunks, {}
-        seen = new & self.older.keys()
-        self.chunks |= {c: self.older[c] for c in seen}
-        new = new - seen
-        alone = new & {"", "\n", " "}
-        self.chunks |= {c: b"" if not c else self._whole(c).astype(np.uint16).tobytes() for c in alone}
-        self.chunks |= self._segment([c for c in new - alone if len(c) <= LONG_CHUNK])
+        ids, n = self.encode_column(pa.array(list(texts), pa.string()))
+        yield from np.split(ids, np.cumsum(n)[:-1]) if len(n) else ()
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -138,47 +189,51 @@ def chunk_table(file: str) -> ChunkTable:
     return _TABLES[file]
 
 
-def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int | None = None, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules): symbols from ``vocabulary`` on stand for the two symbols of that rule.
 
-    ``last`` marks the last id of each document and, in the result, its last symbol.
+    ``last`` marks the last id of each document and, in the result, its last symbol. Rounds go on until no pair is frequent, unless
+    their number is given. After the first one only pairs with a symbol of the round before can be frequent: all others were replaced, or lost a neighbour.
     """
-    s, rules = ids.astype(np.int64), [np.empty((0, 2), np.int64)]
-    known = vocabulary
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        key = (s[:-1] << 32) | s[1:]
-        key[last[:-1]] = -1
-        ranked = np.sort(key)
-        ranked = ranked[np.searchsorted(ranked, 0) :]
-        if not len(ranked):
-            break
-        new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        pairs = ranked[new][np.diff(np.concatenate((new, [len(ranked)]))) >= frequent]
-        if not len(pairs):
+    s, last, rules = ids.astype(np.int64), last.copy(), [np.empty((0, 2), np.int64)]
+    known, done = vocabulary, 0
+    at = np.arange(max(0, len(s) - 1))
+    while len(at) and (rounds is None or done < rounds):
+        done += 1
+        at = at[~last[at]]
+        wide, places = known.bit_length(), len(s).bit_length()
+        key = (s[at] << wide) | s[at + 1]
+        if 2 * wide + places < 64:  # one sort of pair and place together
+            key = np.sort((key << places) | at)
+            key, at = key >> places, key & ((1 << places) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        often = count >= frequent
+        if not often.any():
             break
-        # a pair that loses its place in the table to another waits for the next round
-        slots = max(12, int(len(pairs)).bit_length() + 2)
-        place = lambda k: ((k * _HASH) >> (64 - slots)) & ((1 << slots) - 1)  # noqa: B023, E731
-        book = np.zeros(1 << slots, np.int32)
-        book[place(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        at = book[place(key)]
-        hit = pairs[at] == key
+        pairs = key[first[often]]
+        of = np.full(len(s), -1, np.int32)
+        of[at[np.repeat(often, count)]] = np.repeat(np.arange(len(pairs)), count[often])
         # of hits that overlap, every other one, from the left
-        run = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
-        where = np.flatnonzero(hit)
-        hit[where[(where - run[np.searchsorted(run, where, "right") - 1]) % 2 == 1]] = False
-        where = np.flatnonzero(hit)
-        used, code = np.unique(at[where], return_inverse=True)
+        where = np.flatnonzero(of >= 0)
+        run = np.concatenate(([True], where[1:] != where[:-1] + 1))
+        where = where[(where - where[np.flatnonzero(run)][np.cumsum(run) - 1]) % 2 == 0]
+        used, code = np.unique(of[where], return_inverse=True)
+        rules.append(np.stack((pairs[used] >> wide, pairs[used] & ((1 << wide) - 1)), 1))
         s[where] = known + code
-        rules.append(np.stack((pairs[used] >> 32, pairs[used] & 0xFFFFFFFF), 1))
         known += len(used)
-        last = last.copy()
         last[where] = last[where + 1]
         keep = np.ones(len(s), bool)
         keep[where + 1] = False
         s, last = s[keep], last[keep]
+        new = where - np.arange(len(where))  # a symbol went after each place before
+        fresh = np.zeros(len(s), bool)
+        fresh[new] = True
+        fresh[new[new > 0] - 1] = True
+        at = np.flatnonzero(fresh[:-1])
     return s.astype(np.uint32), last, np.concatenate(rules).astype(np.uint32)
 
 
@@ -200,21 +255,25 @@ def _width(vocabulary: int, rules: int) -> str:
     return "<u2" if vocabulary + rules <= 1 << 16 else "<u4"
 
 
-def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> bytes:
+def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int, rounds: int | None = None, frequent: int = FREQUENT) -> bytes:
     """One shard's file."""
-    n = np.array([len(i) for i in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+    return pack_shard(doc_ids, np.concatenate(ids) if ids else np.empty(0, np.uint32), np.array([len(i) for i in ids], np.int64), vocabulary, rounds, frequent)
+
+
+def pack_shard(doc_ids: list[int | None], flat: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int | None = None, frequent: int = FREQUENT) -> bytes:
+    """One shard's file, of the ids side by side and how many each document has."""
     ends = np.cumsum(n)
     last = np.zeros(len(flat), bool)
     last[ends[n > 0] - 1] = True
     symbols, last, rules = compress(flat, last, vocabulary, rounds, frequent)
     lengths = expansions(rules, vocabulary)
-    symbol_ends = np.zeros(len(ids), np.int64)
+    symbol_ends = np.zeros(len(n), np.int64)
     symbol_ends[n > 0] = np.flatnonzero(last) + 1
-    symbol_ends = np.maximum.accumulate(symbol_ends) if len(ids) else symbol_ends
-    head = _HEAD.pack(_MAGIC, 1, vocabulary, len(ids), len(rules), len(symbols))
+    symbol_ends = np.maximum.accumulate(symbol_ends) if len(n) else symbol_ends
+    head = _HEAD.pack(_MAGIC, 2, vocabulary, len(n), len(rules), len(symbols))
     parts = (
-        np.array([_NO_ID if d is None else d for d in doc_ids], "<i8"),
+        np.array([d is None for d in doc_ids], "u1"),
+        np.array([d or 0 for d in doc_ids], "<i8"),
         np.concatenate(([0], symbol_ends)).astype("<u8"),
         np.concatenate(([0], ends)).astype("<u8"),
         rules[:, 0].astype(_width(vocabulary, len(rules))),
@@ -230,7 +289,7 @@ class Shard:
     """A shard's file, opened."""
 
     vocabulary: int
-    doc_ids: np.ndarray
+    doc_ids: list[int | None]
     symbol_at: np.ndarray
     id_at: np.ndarray
     rules: np.ndarray
@@ -241,13 +300,14 @@ class Shard:
     @classmethod
     def read(cls, raw: bytes) -> Shard:
         magic, version, vocabulary, docs, rules, symbols = _HEAD.unpack_from(raw)
-        if magic != _MAGIC or version != 1:
+        if magic != _MAGIC or version != 2:
             raise ValueError("not a shard file of this version")
         at, found, w = _HEAD.size, [], _width(vocabulary, rules)
-        for kind, n in (("<i8", docs), ("<u8", docs + 1), ("<u8", docs + 1), (w, rules), (w, rules), ("<u4", rules), (w, symbols)):
+        for kind, n in (("u1", docs), ("<i8", docs), ("<u8", docs + 1), ("<u8", docs + 1), (w, rules), (w, rules), ("<u4", rules), (w, symbols)):
             found.append(np.frombuffer(raw, kind, n, at))
             at += found[-1].nbytes
-        return cls(vocabulary, found[0], found[1].astype(np.int64), found[2].astype(np.int64), np.stack((found[3], found[4]), 1), found[5], found[6])
+        doc_ids = [None if null else d for null, d in zip(found[0].tolist(), found[1].tolist(), strict=True)]
+        return cls(vocabulary, doc_ids, found[2].astype(np.int64), found[3].astype(np.int64), np.stack((found[4], found[5]), 1), found[6], found[7])
 
     def _expand_rules(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, length): every symbol's ids side by side, and where each symbol's are."""
@@ -295,26 +355,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_table(public_tokenizers.path(tokenizer))
-        part, shard, keys, kept, n = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            file = write_shard(keys, kept, chunks.size)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([file], pa.binary())], ["range", "shard", "n_ids", "file"]
-            )
+        part, shard = TaskContext.get().partitionId(), 0
+        keys: list[int | None] = []
+        flat, n = np.empty(0, chunks.kind), np.empty(0, np.int64)
+
+        def file(k: int) -> pa.RecordBatch:
+            """The first k documents, which go."""
+            nonlocal keys, flat, n, shard
+            ids = int(n[:k].sum())
+            made = pack_shard(keys[:k], flat[:ids], n[:k], chunks.size)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), pa.array([ids], pa.int64()), pa.array([made], pa.binary())], ["range", "shard", "n_ids", "file"])
+            keys, flat, n, shard = keys[k:], flat[ids:], n[k:], shard + 1
+            return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(at, DOCS_AT_ONCE)
-                for key, ids in zip(some.column("doc_id").to_pylist(), chunks.encode(some.column("text").to_pylist()), strict=True):
-                    keys.append(key)
-                    kept.append(np.append(ids, ids.dtype.type(END_ID)))
-                    n += len(kept[-1])
-                    if n >= shard_ids:
-                        yield flush()
-                        shard, keys, kept, n = shard + 1, [], [], 0
+            for some in slices(batch, "text", BYTES_AT_ONCE):
+                ids, more = chunks.encode_column(some.column("text"))
+                keys += some.column("doc_id").to_pylist()
+                flat = np.concatenate((flat, np.insert(ids, np.cumsum(more), END_ID)))
+                n = np.concatenate((n, more + 1))
+                while (k := int(np.searchsorted(np.cumsum(n), shard_ids)) + 1) <= len(n):
+                    yield file(k)
         if keys:
-            yield flush()
+            yield file(len(n))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -347,7 +410,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)]
                 n = len(crc)
                 columns = [
-                    pa.array([None if d == _NO_ID else d for d in shard.doc_ids.tolist()], pa.int64()),
+                    pa.array(shard.doc_ids, pa.int64()),
                     pa.array([range_] * n, pa.int32()),
                     pa.array([number] * n, pa.int64()),
                     pa.array(at[:-1], pa.int64()),
