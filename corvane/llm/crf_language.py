@@ -5,11 +5,12 @@ sample, of the word itself (the lexicon); learned transitions join neighbouring
 algorithm gives each word's posterior, so that code-switched text gets a label for each word, and a document's language is the one with
 the largest posterior mass over all its words; the score is that language's mean posterior.
 
-Training takes a bounded sample: at most ``DOCS_A_LANG`` documents of each language (the lowest digests of id and text) of at most
-``TRAIN_CHARS`` characters, which bounds what reaches the driver, and ``SEGMENTS``
-segments of ``SEGMENT_WORDS`` words spread evenly over each text. Half of the training sequences are spliced from
-two languages, so that transitions between languages are seen. Prediction covers every word of every text; texts
-are labelled in consecutive runs of ``RUN_WORDS`` words, so that long ones need no long recursion.
+Training takes a bounded sample: at most ``DOCS_A_LANG`` documents of each language (the lowest digests of id and text); of a text of more than
+``TRAIN_CHARS`` characters, as many in evenly spread stretches reach the driver. Of each, ``SEGMENTS``
+segments of ``SEGMENT_WORDS`` words spread evenly are learned from. Half of the training sequences are spliced from
+two languages, so that transitions between languages are seen. Prediction covers every word of every text. A long text is
+one chain: its runs of ``RUN_WORDS`` words are worked on side by side, and the product of each run's transition and emission
+matrices carries the forward vector into the next run and the backward vector into the one before.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ DOCS_A_LANG = 400
 TRAIN_CHARS = 50_000
 SEGMENTS = 6
 SEGMENT_WORDS = 24
-RUN_WORDS = 256
+RUN_WORDS = 1024
 FEATURES = 60_000
 TABLE_WORDS = 250_000
 DOCS_AT_ONCE = 256
+RUNS_AT_ONCE = 256
 MIN_SCORE = 0.4
 UNDETERMINED = "und"
 
@@ -48,7 +50,11 @@ def held_out(doc_id: Column) -> Column:
 
 def tokenize(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    # fractions, superscripts and the like are word characters, but no letters
+    return "".join([c if c.isalpha() else " " for w in found for c in (*w, " ")]).split()
 
 
 def features(word: str) -> list[str]:
@@ -81,35 +87,52 @@ class Crf:
         return np.add.reduceat(self.weights[ids], starts, axis=0) if words else np.zeros((0, len(self.labels)), np.float32)
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(
+    emit: np.ndarray, mask: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posteriors, forward, backward) of sequences (n, time, labels); forward and backward are scaled to sum 1.
 
-    ``mask`` marks the words; each sequence's words come first.
+    ``mask`` marks the words; each sequence's words come first. ``before`` has what the words before hand on to each
+    sequence's first word (all ones if there are none), ``after`` the backward vector of its last one.
     """
     n, steps, labels = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     t = np.exp(transitions - transitions.max())
     forward, backward = np.empty((steps, n, labels)), np.empty((steps, n, labels))
     e = np.ascontiguousarray(e.transpose(1, 0, 2))
-    a = e[0] / e[0].sum(1, keepdims=True)
+    a = e[0] if before is None else e[0] * before
+    a = a / a.sum(1, keepdims=True)
     forward[0] = a
     for k in range(1, steps):
         a = (a @ t) * e[k]
         a /= a.sum(1, keepdims=True)
         forward[k] = a
-    b = np.full((n, labels), 1.0 / labels)
+    last = np.full((n, labels), 1.0 / labels) if after is None else after
+    b = last
     live = mask.T[:, :, None]
     backward[-1] = b
     for k in range(steps - 2, -1, -1):
         c = (b * e[k + 1]) @ t.T
         c /= c.sum(1, keepdims=True)
-        b = np.where(live[k + 1], c, 1.0 / labels)
+        b = np.where(live[k + 1], c, last)
         backward[k] = b
     post = forward * backward
     post /= post.sum(2, keepdims=True)
     return post.transpose(1, 0, 2), forward, backward
 
 
+def products(emit: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Of each sequence: the product of its emissions and the transitions between its words, scaled to sum 1 (n, labels, labels)."""
+    n, steps, labels = emit.shape
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    t = np.exp(transitions - transitions.max())
+    p = np.eye(labels)[None] * e[:, 0, None, :]
+    for k in range(1, steps):
+        q = (p @ t) * e[:, k, None, :]
+        p = np.where(mask[:, k, None, None], q / q.sum((1, 2), keepdims=True), p)
+    return p / p.sum((1, 2), keepdims=True)
+
+
 def _sequences(samples: list[tuple[str, str]], labels: list[str], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
     pieces: list[tuple[list[str], int]] = []
     for text, lang in samples:
@@ -205,18 +228,41 @@ class Labeller:
         """Posterior of each word's labels, for each tokenised text."""
         n = np.array([len(t) for t in texts], np.int64)
         emissions = self._emissions(texts)
-        runs: list[tuple[int, int]] = []  # where each run of words starts, and its length
-        for end, size in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
-            runs += [(at, min(RUN_WORDS, end - at)) for at in range(end - size, end, RUN_WORDS)]
-        runs.sort(key=lambda r: r[1])
+        labels, transitions = len(self.crf.labels), self.crf.transitions
+        count = -(-n // RUN_WORDS)
+        first = np.cumsum(count) - count  # each text's first run
+        of = np.repeat(np.arange(len(n)), count)
+        nth = np.arange(count.sum()) - first[of]
+        start = (np.cumsum(n) - n)[of] + nth * RUN_WORDS
+        length = np.minimum(RUN_WORDS, n[of] - nth * RUN_WORDS)
         out = np.empty(emissions.shape)
-        for k in range(0, len(runs), 256):
-            part = runs[k : k + 256]
-            start, length = np.array([r[0] for r in part]), np.array([r[1] for r in part])
-            steps = np.arange(length.max())
-            mask = steps[None] < length[:, None]
-            at = np.where(mask, start[:, None] + steps[None], start[:, None])
-            out[at[mask]] = forward_backward(emissions[at].astype(np.float64), mask, self.crf.transitions)[0][mask]
+
+        def parts(runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(runs, places of their words, which of those are words) of runs of like length."""
+            runs = runs[np.argsort(length[runs], kind="stable")]
+            for k in range(0, len(runs), RUNS_AT_ONCE):
+                part = runs[k : k + RUNS_AT_ONCE]
+                steps = np.arange(length[part].max())
+                mask = steps[None] < length[part, None]
+                yield part, np.where(mask, start[part, None] + steps[None], start[part, None]), mask
+
+        before, after = np.ones((len(of), labels)), np.full((len(of), labels), 1.0 / labels)
+        chained = np.flatnonzero(count > 1)
+        if len(chained):
+            product = np.empty((len(of), labels, labels))
+            for part, at, mask in parts(np.flatnonzero(count[of] > 1)):
+                product[part] = products(emissions[at].astype(np.float64), mask, transitions)
+            t = np.exp(transitions - transitions.max())
+            for text in chained.tolist():
+                a, z = int(first[text]), int(first[text] + count[text])
+                for r in range(a + 1, z):
+                    v = (before[r - 1] @ product[r - 1]) @ t
+                    before[r] = v / v.sum()
+                for r in range(z - 2, a - 1, -1):
+                    v = t @ (product[r + 1] @ after[r + 1])
+                    after[r] = v / v.sum()
+        for part, at, mask in parts(np.arange(len(of))):
+            out[at[mask]] = forward_backward(emissions[at].astype(np.float64), mask, transitions, before[part], after[part])[0][mask]
         return np.split(out, np.cumsum(n)[:-1]) if texts else []
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int]]]]:
@@ -240,16 +286,19 @@ class Labeller:
 
 def fit(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG) -> Crf:
     """Train on a bounded sample of the documents that are not held out and have a language and a letter."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number a language
     digest = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * docs_a_lang / n))).otherwise(share)
-    rows = usable.select("text", "lang", digest.alias("digest")).where((F.col("digest") / float(1 << 63) + 1) / 2 <= share).collect()
+    n, most = F.char_length("text"), TRAIN_CHARS // SEGMENTS
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.substring("text", (1 + i * (n - most) / (SEGMENTS - 1)).cast("int"), F.lit(most)))
+    excerpt = F.when(n <= TRAIN_CHARS, F.col("text")).otherwise(F.array_join(stretches, "\n"))
+    rows = usable.select(excerpt.alias("text"), "lang", digest.alias("digest")).where((F.col("digest") / float(1 << 63) + 1) / 2 <= share).collect()
     samples: list[tuple[str, str]] = []
     for lang in sorted(counts):
-        mine = sorted((r["digest"], r["text"]) for r in rows if r["lang"] == lang and r["text"] and _WORD.search(r["text"]))
+        mine = sorted((r["digest"], r["text"]) for r in rows if r["lang"] == lang and tokenize(r["text"]))
         samples += [(text, lang) for _, text in mine[:docs_a_lang]]
     return train(samples)
 
