@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-# A side is broadcast only if its counted rows times its row width stay below this.
+# A side is broadcast only if the measured bytes of its rows stay below this.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a temporary one only where none is set (tests)."""
+    """Use the shared folder that the session names; where none is set, a temporary one if all tasks run in this process, and an error else."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
 
 
@@ -29,13 +33,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the counted size allows it; else leave the join to a shuffle.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
-    ``df`` must be materialised already (a checkpoint): counting it runs it.
+
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """Bytes that a value takes beside its eight in the row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + 8 + _bytes_of(x, kind.elementType)), F.lit(0).cast("long"))
+        return F.coalesce(16 + 8 * F.size(value), F.lit(0)).cast("long")
+    if isinstance(kind, StructType):
+        return sum((8 + _bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(0).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the measured bytes of the rows allow it; else leave the join to a shuffle.
+
+    ``df`` must be materialised already (a checkpoint): measuring it runs it, over as many rows at most as could fit.
     """
-    rows = df.limit(limit // row_bytes + 1).count()
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    least = 16 + 8 * len(df.columns)
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(least).cast("long"))
+    found = df.select(width.alias("w")).limit(limit // least + 1).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    return F.broadcast(df) if found <= limit else df
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -68,29 +68,29 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
         .select("doc_id", "key", "n_words", F.array_distinct(F.concat(winnow(F.col("g"), window - k + 1), *(F.col(f"g{m}") for m in short))).alias("fps"))
     )
     found = checkpoint(
-        scan.select("key", F.explode("fps").alias("fp")).join(maybe_broadcast(fps, 16), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"))
+        scan.select("key", F.explode("fps").alias("fp")).join(maybe_broadcast(fps), "fp", "left_semi").select("key").distinct()
     )
     hit = checkpoint(
         docs.select(F.md5(text.cast("binary")).alias("key"), "text")
-        .join(maybe_broadcast(found, 400), "key")
+        .join(maybe_broadcast(found), "key")
         .dropDuplicates(["key"])
-        .select("key", words(F.col("text")).alias("w"), "fps")
+        .select("key", words(F.col("text")).alias("w"))
     )
     all_grams = F.concat(*(F.transform(grams(F.col("w"), m), lambda h, i: F.struct(i.alias("dp"), h.alias("fp"))) for m in [k, *short]))
-    diagonals = (
-        hit.select("key", F.explode(F.filter(all_grams, lambda x: F.array_contains(F.col("fps"), x["fp"]))).alias("x"))
+    # every gram of a document that is hit meets the items' kept ones; the words decide below
+    diagonals = checkpoint(
+        hit.select("key", F.explode(all_grams).alias("x"))
         .select("key", "x.fp", "x.dp")
-        .join(maybe_broadcast(places, 24), "fp")
+        .join(maybe_broadcast(places), "fp")
         .select("key", "item", (F.col("dp") - F.col("ip")).alias("off"))
         .distinct()
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("item", "off")).alias("ds"))
     )
+    first = F.greatest(F.col("off"), F.lit(0))
+    beside = diagonals.join(hit.select("key", "w"), "key").join(maybe_broadcast(checkpoint(item.select("item", "item_id", "iw", "span"))), "item")
+    # the document's words that lie beside the item's on this diagonal
+    beside = beside.select("key", "item_id", "span", "off", "iw", F.slice("w", first + 1, F.size("iw")).alias("dw"), first.alias("first"))
     spans = checkpoint(
-        hit.join(diagonals, "key")
-        .select("key", "w", F.explode("ds").alias("d"))
-        .join(maybe_broadcast(item.select("item", "item_id", "iw", "span"), 2048), F.col("d.item") == F.col("item"))
-        .withColumn("same", F.transform("iw", lambda x, j: F.coalesce(x == F.get(F.col("w"), F.col("d.off") + j), F.lit(False))))
+        beside.withColumn("same", F.transform("iw", lambda x, j: F.coalesce(x == F.get(F.col("dw"), F.col("off") + j - F.col("first")), F.lit(False))))
         .select(
             "key",
             "item_id",
@@ -98,7 +98,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
             F.explode(
                 F.expr("filter(sequence(0, size(iw) - span), j -> forall(slice(same, j + 1, span), x -> x))")
             ).alias("j"),
-            F.col("d.off").alias("off"),
+            "off",
         )
         .select("key", "item_id", (F.col("off") + F.col("j")).alias("start"), "span")
         .distinct()
@@ -120,7 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         .agg(F.count("*").alias("n_hit"))
         .join(which.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")), "key")
     )
-    return rows.join(maybe_broadcast(checkpoint(per_key), 400), "key", "left").select(
+    return rows.join(maybe_broadcast(checkpoint(per_key)), "key", "left").select(
         "doc_id",
         "key",
         F.col("n_words").cast("long").alias("n_words"),
@@ -155,7 +155,7 @@ def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = hits.select(F.col("key").alias("__key"), contaminated(F.size("__hit"), F.col("n_words")).alias("__bad"), "__hit")
     hits = checkpoint(hits.withColumn("__hit", F.when(~F.col("__bad"), F.col("__hit"))))
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = docs.withColumn("__key", key).join(maybe_broadcast(hits, 400), "__key", "left").where("__bad IS NULL OR NOT __bad")
+    found = docs.withColumn("__key", key).join(maybe_broadcast(hits), "__key", "left").where("__bad IS NULL OR NOT __bad")
     found = found.withColumn("__text", F.when(F.col("__hit").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("__hit"))))
     n_chars = F.when(F.col("__hit").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast("long")) if "n_chars" in docs.columns else None
     return found.select(*(F.col("__text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

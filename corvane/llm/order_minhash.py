@@ -265,13 +265,13 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     Members outside a bucket's largest component meet all others of it, each in the part that holds it.
     """
     # the one pair of a bucket of two has been compared
-    met = members.where("n > 2").select("bucket", "key", "len").join(maybe_broadcast(roots, 96), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    met = members.where("n > 2").select("bucket", "key", "len").join(maybe_broadcast(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
     met = checkpoint(met)
     per = met.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
     per = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("words").alias("words")).where("roots > 1")
     per = checkpoint(per.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("parts")))
     mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    rows = met.join(maybe_broadcast(per, 64), "bucket").withColumns({"left": F.col("root") != F.col("main"), "mine": mine})
+    rows = met.join(maybe_broadcast(per), "bucket").withColumns({"left": F.col("root") != F.col("main"), "mine": mine})
     rows = rows.withColumn("part", F.explode(F.when(F.col("left"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
     rows = rows.select("bucket", "part", (F.col("part") != F.col("mine")).alias("guest"), "key", "root", "left").join(texts, "key")
     rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest")
@@ -288,7 +288,7 @@ def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     members = checkpoint(_stars(met.drop("n").join(ties, "key")))
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = checkpoint(members.select("key").distinct())
-    texts = checkpoint(keyed.join(maybe_broadcast(wanted, 48), "key", "left_semi").dropDuplicates(["key"]))
+    texts = checkpoint(keyed.join(maybe_broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]))
     pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.col("head_len").alias("la"), F.col("len").alias("lb")).distinct()
     links = checkpoint(_verify(pairs, texts).where("near").select("a", "b"))
     return links.unionByName(_rest(members, checkpoint(components(links)), texts))
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = made.select("doc_id", "key", F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("key"), 3)).alias("did"))
     unique = checkpoint(made.dropDuplicates(["key"]).where(F.size("sketch") > 0).select("key", "len", "sketch"))
     roots = checkpoint(components(find_links(unique, docs)))
-    per_key = rows.groupBy("key").agg(F.min("did").alias("low")).join(maybe_broadcast(roots, 96), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    per_key = rows.groupBy("key").agg(F.min("did").alias("low")).join(maybe_broadcast(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
     per_key = checkpoint(per_key)
     low = per_key.groupBy("root").agg(F.min("low").alias("class_id"))
     classes = per_key.join(low, "root").select("key", "class_id")
@@ -339,7 +339,7 @@ def stage(docs: DataFrame) -> DataFrame:
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     out = docs.withColumns({"__key": key, "__id": F.col("doc_id").cast("long")})
     same = out["__key"].eqNullSafe(F.col("k.__key")) & out["__id"].eqNullSafe(F.col("k.__id"))
-    out = out.alias("d").join(maybe_broadcast(kept.select("__key", "__id"), 64).alias("k"), same, "left_semi")
+    out = out.alias("d").join(maybe_broadcast(kept.select("__key", "__id")).alias("k"), same, "left_semi")
     if not kept.where("n > 1").isEmpty():  # repeated rows: one of each stays
         out = out.dropDuplicates(["__key", "__id"])
     return out.drop("__key", "__id")
