@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from ._common import checkpoint, table
 
+PIECE_BYTES = 512 << 20  # texts of one range, which one task sorts
+TREE_STARTS = 1024
+COUNTS = 1 << 20  # counts that reach the driver in a round
 _MIN, _MAX = -(1 << 62), (1 << 62) - 1  # second keys beyond are drawn in, so that differences fit a long
 
 
@@ -60,7 +63,17 @@ class _Open:
 
 
 def _tree(starts: Sequence[tuple[int, int]]) -> Column:
-    """How many of the sorted starts are <= (k1, k2): a tree of comparisons, no array and no join."""
+    """How many of the sorted starts are <= (k1, k2): a tree of comparisons, or a binary search in arrays if they are many."""
+    if len(starts) > TREE_STARTS:
+        k1s, k2s = F.lit([k1 for k1, _ in starts]), F.lit([k2 for _, k2 in starts])
+        steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(starts).bit_length()))))
+
+        def further(at: Column, step: Column) -> Column:
+            k1, k2 = F.get(k1s, at + step - 1), F.get(k2s, at + step - 1)
+            reached = (k1 < F.col("__k1")) | ((k1 == F.col("__k1")) & (k2 <= F.col("__k2")))
+            return F.when(F.coalesce(reached, F.lit(False)), at + step).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), further)
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -74,7 +87,7 @@ def _tree(starts: Sequence[tuple[int, int]]) -> Column:
 
 
 def _longs(values: Sequence[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
+    return F.array(*(F.lit(v).cast("long") for v in values)) if len(values) <= TREE_STARTS else F.lit(list(values)).cast("array<bigint>")
 
 
 def _count(keys: DataFrame, opens: list[_Open], probes: int) -> dict[tuple[int, int], tuple[int, int]]:
@@ -82,7 +95,7 @@ def _count(keys: DataFrame, opens: list[_Open], probes: int) -> dict[tuple[int,
     start = lambda o: (o.lo, _MIN) if o.fixed is None else (o.fixed, o.lo)
     distinct = sorted({start(o): o for o in opens}.values(), key=start)
     at = keys.withColumn("i", _tree([start(o) for o in distinct])).where("i > 0")
-    pick = lambda values: F.element_at(_longs(values), F.col("i"))
+    pick = lambda values: F.get(_longs(values), F.col("i") - 1)
     second = pick([o.fixed is not None for o in distinct]) == 1
     found = (
         at.withColumn("key", F.when(second, F.col("__k2")).otherwise(F.col("__k1")))
@@ -97,12 +110,13 @@ def _count(keys: DataFrame, opens: list[_Open], probes: int) -> dict[tuple[int,
     return {(j, b): v for j, o in enumerate(opens) for (i, b), v in by.items() if i == index[start(o)]}
 
 
-def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.0005, probes: int = 256) -> list[Splitter]:
+def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.0005, probes: int | None = None) -> list[Splitter]:
     """``parts - 1`` splitters of ``keys`` (k1, k2, size), each within tolerance (a share of a part) or exact.
 
     At most a few rounds a key: every round divides an interval by ``probes``. Counted rows, not
-    samples, decide; the driver gets parts * probes counts at most.
+    samples, decide; the driver gets parts * probes counts at most (``COUNTS``, unless there are more parts than a quarter of that).
     """
+    probes = probes or max(4, min(256, COUNTS // parts))
     total = keys.agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("__k1").alias("lo"), F.max("__k1").alias("hi")).first()
     if not total["n"]:
         return []
@@ -138,31 +152,34 @@ def range_of(splitters: Sequence[Splitter]) -> Column:
 
 
 def histogram_sort(
-    docs: DataFrame, shards: int = 16, pieces: int = 4, tolerance: float = 0.0005, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, shards: int = 16, pieces: int | None = None, tolerance: float = 0.0005, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """All rows and columns of ``docs`` plus size, text_crc32, shard and slot.
 
-    A shard is ``pieces`` neighbouring ranges, so that no task sorts a whole shard; slot runs from 0
-    without a gap in key order through each shard. Shards differ in bytes by the tolerance or by the one row
+    A shard is ``pieces`` neighbouring ranges (by default as many as keep a range below ``PIECE_BYTES``, and four at least), so that no task
+    sorts a whole shard; slot runs from 0 without a gap in key order through each shard. Shards differ in bytes by the tolerance or by the one row
     that straddles a boundary.
 
     A null text has size 1 and the crc32 of the empty text, a null key sorts first, rows alike in both
-    keys stay in one range, an empty table gives an empty result. Columns of ``docs`` that bear the name of a
+    keys stay in one range, keys beyond 2**62 on either side count as that bound (so their rows have no order of their own), an empty table gives an empty result. Columns of ``docs`` that bear the name of a
     result column are replaced by it.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     made = {"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))}
     keyed = docs.withColumns(made).withColumns({"__k1": F.col("text_crc32"), "__k2": F.greatest(F.lit(_MIN), F.least(F.lit(_MAX), F.coalesce(F.col(key).cast("long"), F.lit(_MIN))))})
-    splitters = find_splitters(checkpoint(keyed.select("__k1", "__k2", "size")), shards * pieces, tolerance)
+    keys = checkpoint(keyed.select("__k1", "__k2", "size"))
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    pieces = pieces or max(4, -(-total // (shards * PIECE_BYTES)))
+    splitters = find_splitters(keys, shards * pieces, tolerance)
     if not splitters:
         return keyed.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__k1", "__k2")
     below = [0, *(s.rows for s in splitters)]
     start = [below[i - i % pieces] if i - i % pieces < len(below) else below[-1] for i in range(len(below))]
-    offsets = F.array(*(F.lit(b - s).cast("long") for b, s in zip(below, start, strict=True)))
+    offsets = _longs([b - s for b, s in zip(below, start, strict=True)])
     ranged = keyed.withColumn("__range", range_of(splitters))
     order = Window.partitionBy("__range").orderBy("__k1", "__k2")
     return (
-        ranged.withColumn("slot", F.element_at(offsets, F.col("__range") + 1) + F.row_number().over(order) - 1)
+        ranged.withColumn("slot", F.get(offsets, F.col("__range")) + F.row_number().over(order) - 1)
         .withColumn("shard", F.floor(F.col("__range") / pieces).cast("int"))
         .drop("__k1", "__k2", "__range")
     )

@@ -76,9 +76,12 @@ def derivatives(found: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records, two rows a response at most.
 
     Columns of ``found`` other than those of ``responses`` stay, unless they bear a result column's name. A response of another content type than HTML
-    or plain text, or of a null body, gets a metadata record alone; a null URI stays null and
-    makes no outlink absolute; repeated responses give repeated records; an empty table gives an empty result.
+    or plain text, or of a null body, gets a metadata record alone, as does one of null headers; a null URI stays null and
+    makes no outlink absolute; a response of a null record id is named by a digest of its URI, date and body; a null status leaves its line empty; line
+    ends inside a line of the block become blanks; repeated responses give repeated records; an empty table gives an empty result.
     """
+    name = F.concat_ws("|", F.lit("response"), F.col("target_uri"), F.col("warc_date"), F.sha1(F.coalesce("body", F.lit("")).cast("binary")))
+    found = found.withColumn("record_id", F.coalesce("record_id", urn(name.cast("binary"))))
     kept = [c for c in found.columns if c not in _RESPONSE + _DERIVED]
     payload = F.coalesce("body", F.lit(""))
     kind = F.lower(F.trim(F.regexp_extract("headers", r"(?im)^content-type:[ \t]*([^;\r\n]*)", 1)))
@@ -96,7 +99,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     )
     lines = F.concat(
         F.array(
-            F.concat(F.lit("source-status: "), F.col("status")),
+            F.concat(F.lit("source-status: "), F.coalesce("status", F.lit(""))),
             F.concat(F.lit("source-payload-length: "), F.octet_length(payload).cast("string")),
             F.concat(F.lit("source-payload-digest: "), F.col("__payload_digest")),
             F.concat(F.lit("conversion: "), F.coalesce("__conversion_id", F.lit("none"))),
@@ -105,6 +108,7 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.transform(F.filter(F.split(F.coalesce("headers", F.lit("")), "\r\n"), lambda h: h != ""), lambda h: F.concat(F.lit("source-header: "), h)),
         outlinks,
     )
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, "[\r\n]+", " "))
     block = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     record = lambda t, i, c, b: F.struct(F.lit(t).alias("record_type"), i.alias("record_id"), F.lit(c).alias("content_type"), b.alias("block"))
     both = F.array(
@@ -131,7 +135,7 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def serialize(records: DataFrame) -> DataFrame:
-    """Add ``record``: the record as it stands in a WARC file. Null fields are left out."""
+    """Add ``record``: the record as it stands in a WARC file. Null fields are left out, and line ends in a field are percent-encoded."""
     fields = (
         ("WARC-Type", "record_type"),
         ("WARC-Record-ID", "record_id"),
@@ -139,12 +143,14 @@ def serialize(records: DataFrame) -> DataFrame:
         ("WARC-Target-URI", "target_uri"),
         ("WARC-Date", "warc_date"),
         ("WARC-Block-Digest", "block_digest"),
+        ("WARC-Source-Payload-Digest", "source_payload_digest"),
         ("Content-Type", "content_type"),
         ("Content-Length", "content_length"),
     )
+    one_line = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = reduce(
         lambda a, b: F.concat(a, b),
-        (F.coalesce(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")), F.lit("")) for name, c in fields),
+        (F.coalesce(F.concat(F.lit(f"{name}: "), one_line(c), F.lit("\r\n")), F.lit("")) for name, c in fields),
         F.lit("WARC/1.1\r\n"),
     )
     return records.withColumn("record", F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")))
@@ -170,7 +176,7 @@ t4 AS (SELECT * REPLACE (replace(replace(replace(replace(replace(replace(t, '&co
 t5 AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '[ \t\n]*\n[ \t\n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t), {_B32.format("body")} AS digest,
   {_URN.format("'conversion|' || rid")} AS cid, trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title,
   list_transform(regexp_extract_all(body, '(?i)<a\s[^>]*?href="([^"\r\n]*)"', 1),
-    lambda x: 'outlink: ' || CASE WHEN starts_with(x, '/') AND NOT starts_with(x, '//') THEN base || x ELSE x END) AS links FROM t4),
+    lambda x: 'outlink: ' || CASE WHEN starts_with(x, '/') AND NOT starts_with(x, '//') THEN regexp_replace(base, '[\r\n]+', ' ', 'g') || x ELSE x END) AS links FROM t4),
 m AS (SELECT page_id, 'metadata' AS record_type, {_URN.format("'metadata|' || rid")} AS record_id, rid, url, 'application/warc-fields' AS content_type, digest,
   array_to_string(list_concat(['source-status: HTTP/1.1 200 OK', 'source-payload-length: ' || strlen(body), 'source-payload-digest: ' || digest,
     'conversion: ' || CASE WHEN html IS NULL THEN 'none' ELSE cid END, 'title: ' || title, 'source-header: Content-Type: text/html; charset=utf-8',
