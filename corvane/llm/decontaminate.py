@@ -37,7 +37,7 @@ def winnow(hashes: Column, width: int = WINDOW - K + 1) -> Column:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per row: doc_id, key, n_words; per key: position of each hit word; per key: item_id of each item that occurs).
+    """(per row: doc_id, key, n_words; per key: position of each hit word; per key: item_id and span of each item that occurs).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; key is a digest of the text, so that
     copies are extended once.
@@ -104,7 +104,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
         .distinct()
     )
     where = spans.select("key", F.explode(F.expr("sequence(start, start + span - 1)")).alias("pos")).distinct()
-    return scan.select("doc_id", "key", "n_words"), where, spans.select("key", "item_id").distinct()
+    return scan.select("doc_id", "key", "n_words"), where, spans.select("key", "item_id", "span").distinct()
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -129,36 +129,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     ).withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
-_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-
-
-def without_words(text: Column, hit: Column) -> Column:
-    """The text without its words at the positions ``hit`` (ascending), nor what stands between two of them that follow each other."""
-    between = F.split(text, _WORD)
-    # each word with what follows it, made once: inside a lambda it would be made again for each word
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.slice(between, 2, F.greatest(F.size(between), F.lit(1))), lambda w, gap: F.struct(w.alias("w"), gap.alias("gap")))
-
-    def rest(x: Column, i: Column) -> Column:
-        gap = F.when(F.array_contains(hit, i + 1), F.lit("")).otherwise(x["gap"])
-        return F.when(F.array_contains(hit, i), gap).otherwise(F.concat(x["w"], x["gap"]))
-
-    return F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(pairs, rest), ""))
-
-
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns, and without the hit spans in text (and n_chars).
+    """The documents, with their own columns, that hold no window of any item.
 
-    Words that only the cut brings together are not looked at again.
+    A document of any length goes for one span of WINDOW words. Items of fewer words are too common for that: their hits count only if the
+    document is contaminated by them (one word in twenty).
     """
-    rows, where, _ = find_hits(docs, items)
-    hits = where.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("__hit")).join(rows.select("key", "n_words").distinct(), "key")
-    hits = hits.select(F.col("key").alias("__key"), contaminated(F.size("__hit"), F.col("n_words")).alias("__bad"), "__hit")
-    hits = checkpoint(hits.withColumn("__hit", F.when(~F.col("__bad"), F.col("__hit"))))
+    rows, where, which = find_hits(docs, items)
+    hits = where.groupBy("key").agg(F.count("*").alias("n_hit")).join(which.groupBy("key").agg(F.max("span").alias("span")), "key").join(rows.select("key", "n_words").distinct(), "key")
+    bad = checkpoint(hits.where((F.col("span") >= WINDOW) | contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("__key")))
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = docs.withColumn("__key", key).join(maybe_broadcast(hits), "__key", "left").where("__bad IS NULL OR NOT __bad")
-    found = found.withColumn("__text", F.when(F.col("__hit").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("__hit"))))
-    n_chars = F.when(F.col("__hit").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast("long")) if "n_chars" in docs.columns else None
-    return found.select(*(F.col("__text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return docs.withColumn("__key", key).join(maybe_broadcast(bad), "__key", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

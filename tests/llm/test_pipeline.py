@@ -43,8 +43,8 @@ def test_stages(spark, tmp_path, duck):
 
     before, after = seen["decontamination"]
     duck.register("staged2", before)
-    hits = duck.execute(decontaminate.SQL.replace("FROM documents", "FROM staged2")).df().set_index("doc_id")["contaminated"]
-    assert sorted(after["doc_id"]) == sorted(i for i, bad in hits.items() if not bad)
+    hits = duck.execute(decontaminate.SQL.replace("FROM documents", "FROM staged2")).df().set_index("doc_id")["n_hit"]
+    assert sorted(after["doc_id"]) == sorted(i for i, n in hits.items() if not n)  # all items have a whole window
 
     before, after = seen["encoding"]
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
@@ -53,3 +53,17 @@ def test_stages(spark, tmp_path, duck):
         assert list(r.ids) == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
 
     assert corpus_pipeline.run(spark, SMALL).select(F.sum("n_tokens")).first()[0] == int(after["n_tokens"].sum())
+
+
+def test_stages_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    items = spark.createDataFrame([("i", "x y"), (None, None)], "item_id string, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for kind, docs in (("odd", odd), ("none", none)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs.columns
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{kind}{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{kind}{i}"))
+            assert i == 4 or docs.columns == before
+        # null, empty and letterless texts are in no language; of the copies of one text the lowest id stays
+        assert sorted(str(r["doc_id"]) for r in docs.collect()) == (["2", "6", "7", "8", "None"] if kind == "odd" else [])
+        assert docs.count() == 0 or docs.select("size").distinct().collect() == [("own",)]
