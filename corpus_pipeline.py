@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import crf_language, decontaminate, line_templates, order_minhash, pieces
-from corvane.llm._common import ensure_checkpoint_dir, table
+from corvane.llm._common import ensure_checkpoint_dir, remove, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words at least one in twenty lies in a benchmark passage."""
+    """Drops documents that hold 13 consecutive words of a benchmark text."""
     return decontaminate.stage(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:  # what a stage kept is no longer needed once the next one is written
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
