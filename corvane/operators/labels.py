@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_tag
@@ -19,17 +19,21 @@ def exploded(rows: DataFrame, tags: str = "tags", keep: Sequence[str] = ("id",))
 def map_tags(rows: DataFrame, mapping: DataFrame, tags: str = "tags", key: str = "id", keep: Sequence[str] = ("cl",)) -> DataFrame:
     """Per row: macros in mapping order (``other`` if no tag is mapped), mask (a bit for each place) and unmapped tags.
 
-    The mapping is as small as its file and is broadcast.
+    Tags of rows and mapping meet in normal form; blank ones count as absent. The mapping is as small as its file and is broadcast; an
+    empty one gives ``other`` alone, and one of more than 62 categories has no mask, which is an error.
     """
-    places = mapping.select("pos", "macro", F.col("tag").alias("tag_norm"))
-    other_bit = mapping.agg(F.max("pos").alias("m")).first()["m"] + 1
+    places = mapping.select("pos", "macro", normalize_tag(F.col("tag")).alias("tag_norm"))
+    found = mapping.agg(F.max("pos").alias("m")).first()["m"]
+    other_bit = 0 if found is None else found + 1
+    if other_bit > 62:
+        raise ValueError(f"{other_bit} categories; a mask has room for 62 and other")
     each = rows.select(key, *keep, F.explode_outer(tags).alias("tag")).withColumn("tag_norm", normalize_tag(F.col("tag")))
     joined = each.join(F.broadcast(places), "tag_norm", "left")
     in_order = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "macro"))))
     return joined.groupBy(key, *keep).agg(
         in_order.alias("found"),
         F.coalesce(F.bit_or(F.expr("CASE WHEN pos IS NOT NULL THEN shiftleft(1L, pos) END")), F.lit(1 << other_bit)).alias("mask"),
-        F.array_sort(F.collect_set(F.when(F.col("pos").isNull(), F.col("tag")))).alias("unmapped"),
+        F.array_sort(F.collect_set(F.when(F.col("pos").isNull() & (F.col("tag_norm") != ""), F.col("tag")))).alias("unmapped"),
     ).withColumn("macros", F.when(F.size("found") == 0, F.array(F.lit(OTHER))).otherwise(F.transform("found", lambda s: s["macro"]))).drop("found")
 
 
@@ -43,7 +47,9 @@ def primary_first(macros: Column) -> Column:
 
 
 def to_mask(tags: Column, order: Sequence[str]) -> Column:
-    """Bit mask of a tag set, by each tag's place in ``order`` (63 at most)."""
+    """Bit mask of a tag set, by each tag's place in ``order``; more than 63 are an error."""
+    if len(order) > 63:
+        raise ValueError(f"{len(order)} labels; a mask has room for 63")
     places = F.create_map(*(x for i, t in enumerate(order) for x in (F.lit(t), F.lit(1 << i).cast("long"))))
     return F.aggregate(tags, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.coalesce(places[t], F.lit(0).cast("long"))))
 
@@ -60,8 +66,8 @@ def distribution(each: DataFrame, rows: DataFrame, label: str = "tag") -> DataFr
 
 
 def unmapped_tags(rows: DataFrame, mapping: DataFrame, tags: str = "tags") -> DataFrame:
-    each = rows.select(F.explode(tags).alias("tag"))
-    known = F.broadcast(mapping.select(F.col("tag").alias("known")))
+    each = rows.select(F.explode(tags).alias("tag")).where(normalize_tag(F.col("tag")) != "")
+    known = F.broadcast(mapping.select(normalize_tag(F.col("tag")).alias("known")))
     return counted(each.join(known, normalize_tag(F.col("tag")) == F.col("known"), "left_anti"), "tag")
 
 
@@ -83,14 +89,32 @@ def compare(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     )
 
 
-def audit(rows: DataFrame, mapping: DataFrame, ambiguous: Sequence[str], broad: Sequence[str]) -> DataFrame:
-    """Per tag: count, first form seen, up to five first ids, category, status and reason."""
-    each = rows.select("id", "ord", F.posexplode("tags").alias("at", "tag")).withColumn("tag_norm", normalize_tag(F.col("tag")))
-    first = F.min_by("tag", F.struct("ord", "at")).alias("tag_raw")
-    # five lowest at most are kept of each group: per task first, then of those
-    ranked = each.groupBy("tag_norm").agg(F.count("*").alias("n"), first)
-    from pyspark.sql import Window
-
+#: Statuses of a tag, in the order in which they are tried.
+STATUSES = ("debatable", "formal_or_technical", "broad_category", "debatable", "confident")
+RATIONALES = (
+    "reviewers read this tag in more than one way, so its category is an approximation",
+    "the tag names a form, a medium or a technical matter and no topic",
+    "the tag covers much, and its category is as wide",
+    "no category was found for the tag",
+    "the tag and its category mean the same",
+)
+
+
+def audit(
+    rows: DataFrame,
+    mapping: DataFrame,
+    debatable: Sequence[str] = (),
+    formal: tuple[Sequence[str], Sequence[str]] = ((), ()),
+    broad: tuple[Sequence[str], Sequence[str]] = ((), ()),
+) -> DataFrame:
+    """Per tag: count, first form seen, up to five first ids, category, status and rationale.
+
+    ``formal`` and ``broad`` are (categories, tags). The first of the five branches that fits decides: debatable by its tag, formal, broad, debatable as no
+    category was found, confident.
+    """
+    each = rows.select("id", "ord", F.posexplode("tags").alias("at", "tag")).withColumn("tag_norm", normalize_tag(F.col("tag"))).where("tag_norm <> ''")
+    ranked = each.groupBy("tag_norm").agg(F.count("*").alias("n"), F.min_by("tag", F.struct("ord", "at")).alias("tag_raw"))
+    # the five lowest of each group: per task first, then of those
     few = (
         each.select("tag_norm", "id", "ord").distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("tag_norm").orderBy("ord", "id")))
@@ -98,11 +122,19 @@ def audit(rows: DataFrame, mapping: DataFrame, ambiguous: Sequence[str], broad:
         .groupBy("tag_norm")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"].cast("string")), ", ").alias("examples"))
     )
-    joined = ranked.join(few, "tag_norm").join(F.broadcast(mapping.select(F.col("tag").alias("tag_norm"), "macro")), "tag_norm", "left")
-    status = (
-        F.when(F.col("macro").isNull(), "unmapped")
-        .when(F.col("tag_norm").isin(*ambiguous), "ambiguous")
-        .when(F.col("macro").isin(*broad), "broad")
-        .otherwise("direct")
-    )
-    return joined.withColumn("status", status).withColumn("macro", F.coalesce("macro", F.lit(OTHER))).orderBy(F.desc("n"), "tag_norm")
+    joined = ranked.join(few, "tag_norm").join(F.broadcast(mapping.select(normalize_tag(F.col("tag")).alias("tag_norm"), "macro")), "tag_norm", "left")
+    tag, macro = F.col("tag_norm"), F.coalesce("macro", F.lit(OTHER))
+    branches = (tag.isin(*debatable), macro.isin(*formal[0]) | tag.isin(*formal[1]), macro.isin(*broad[0]) | tag.isin(*broad[1]), macro == OTHER)
+
+    def first(values: Sequence[str]) -> Column:
+        out = F.lit(values[-1])
+        for fits, value in reversed(list(zip(branches, values, strict=False))):
+            out = F.when(fits, F.lit(value)).otherwise(out)
+        return out
+
+    return joined.withColumns({"status": first(STATUSES), "rationale": first(RATIONALES), "macro": macro}).orderBy(F.desc("n"), "tag_norm")
+
+
+def single_label(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose JSON list of labels, stored as text, has exactly one; text that is no list has none."""
+    return rows.where(F.size(F.from_json(F.col(text), "array<string>")) == 1)

@@ -40,6 +40,14 @@ def stratified_split(rows: DataFrame, stratum: str, seed: int, shares: Sequence[
     return r.withColumn("split", F.when(F.col("size") == 1, F.lit(names[0])).otherwise(split)).drop("rank", "size")
 
 
+def split_rows(rows: DataFrame, stratum: str, seed: int, shares: Sequence[float] = (0.70, 0.15, 0.15), names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
+    """A stratified split, or one without strata if a stratum has a single row and so cannot be parted."""
+    least = rows.groupBy(stratum).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    if least is None or least >= 2:
+        return stratified_split(rows, stratum, seed, shares, names)
+    return stratified_split(rows.withColumn("__one", F.lit(0)), "__one", seed, shares, names).drop("__one")
+
+
 def positives(rows: DataFrame, per_anchor: int, seed: int, tags: str = "macros") -> DataFrame:
     """(a, b) of up to ``per_anchor`` rows that share a tag with each anchor, by digest.
 

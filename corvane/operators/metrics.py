@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import f1, safe_ratio
+from .corpus import sample_order
 
 
 def contingency(rows: DataFrame, by: list[str], true: str = "t", pred: str = "k") -> DataFrame:
@@ -112,6 +115,47 @@ def pair_counts_of(g: DataFrame, by: list[str]) -> DataFrame:
     return x.withColumn("f1", f1(F.col("precision"), F.col("recall"))).select(*by, "total_pairs", "model_pairs", "label_pairs", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
 
 
+def random_pairs(rows: DataFrame, pairs: int, seed: int, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """``pairs`` distinct unordered pairs of different rows, each as likely as any other; all pairs if there are no more. Columns: a and b, structs of ``columns``.
+
+    Pairs have numbers from 0 to n (n - 1) / 2. If they are few they are all put in a random order; else numbers are drawn, and
+    drawn ones that repeat fall out. Rows are numbered in the order of a digest, without a window over all of them.
+    """
+    from .learn import ranked
+
+    spark = rows.sparkSession
+    numbered = ranked(rows.withColumn("__all", F.lit(0)), "__all", sample_order(seed, key)).select("rank", F.struct(*columns).alias("row"))
+    n = rows.count()
+    total = n * (n - 1) // 2
+    few = total <= 2 * pairs
+    draws = spark.range(total if few else 2 * pairs)
+    order = F.xxhash64(F.lit(seed), "id")
+    number = F.col("id") if few else F.pmod(order, F.lit(total))
+    drawn = draws.select(number.alias("p")).distinct().orderBy(F.xxhash64(F.lit(seed + 1), "p"), "p").limit(pairs)
+    # the larger row number j has j (j - 1) / 2 pairs before it; the root may be off by one
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("long")
+    before = lambda x: F.expr(f"({x} * ({x} - 1)) div 2")
+    drawn = drawn.withColumn("j", j).withColumn("j", F.when(before("j") > F.col("p"), F.col("j") - 1).otherwise(F.col("j")))
+    drawn = drawn.withColumn("j", F.when(before("(j + 1)") <= F.col("p"), F.col("j") + 1).otherwise(F.col("j"))).withColumn("i", F.col("p") - before("j"))
+    of = lambda end, name: numbered.select(F.col("rank").alias(end), F.col("row").alias(name))
+    return drawn.join(of("i", "a"), "i").join(of("j", "b"), "j").select("a", "b")
+
+
+def sampled_pair_counts(rows: DataFrame, seed: int, max_pairs: int = 1_000_000, cluster: str = "k", mask: str = "mask") -> DataFrame:
+    """One row: agreement over all pairs if there are no more than ``max_pairs``, over so many random ones else."""
+    n = rows.count()
+    total = n * (n - 1) // 2
+    if total <= max_pairs:
+        found = pair_counts(rows.select(F.col(cluster).alias("k"), F.col(mask).alias("mask")), []).select(F.col("total_pairs").alias("pairs_evaluated"), "tp", "fp", "fn", "tn")
+    else:
+        same, label = F.col(f"a.{cluster}") == F.col(f"b.{cluster}"), F.col(f"a.{mask}").bitwiseAND(F.col(f"b.{mask}")) != 0
+        found = random_pairs(rows, max_pairs, seed, [cluster, mask]).agg(
+            F.count("*").alias("pairs_evaluated"), F.count_if(same & label).alias("tp"), F.count_if(same & ~label).alias("fp"), F.count_if(~same & label).alias("fn"), F.count_if(~same & ~label).alias("tn")
+        )
+    found = found.withColumns({"precision": safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    return found.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "exact": F.lit(total <= max_pairs), "total_possible_pairs": F.lit(total).cast("long")})
+
+
 def subsets(rows: DataFrame, macros: str = "macros") -> DataFrame:
     """Each row once for each subset it belongs to: all, excluding_other, single_clear_label, multi_label."""
     m = F.col(macros)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import block_key, normalize_text
+from ..functions.text import block_key, normalize_text, truncate
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -50,15 +52,32 @@ def block_counts(rows: DataFrame, text: str = "text") -> DataFrame:
 def near_duplicates(rows: DataFrame, least: float = 92.0, text: str = "text") -> DataFrame:
     """(a, b, ratio) of pairs of different normal texts in a block whose ratio reaches ``least``; a < b.
 
-    Equal texts are one entry, so a large group of copies makes no pairs; ``copies`` of :func:`exact_groups` has those. Lengths
-    that cannot reach the ratio are left out before any comparison.
+    Equal texts are one entry, known by its digest, so a large group of copies makes no pairs; ``copies`` of :func:`exact_groups` has those. A block is parted
+    further by bands of length: two texts of the ratio are in the same band of length or in neighbouring ones, so an entry meets its own band and the one
+    above. Texts are fetched only for pairs whose lengths can reach the ratio.
     """
-    entry = rows.withColumn("t", normalize_text(F.col(text))).groupBy("t").agg(F.min("id").alias("id")).withColumn("block", block_key(F.col("t")))
-    a, b = entry.alias("a"), entry.alias("b")
-    la, lb = F.char_length("a.t"), F.char_length("b.t")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (200 * F.least(la, lb) >= least * (la + lb)))
-    scored = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), indel_ratio(F.col("a.t"), F.col("b.t")).alias("ratio"))
-    return scored.where(F.col("ratio") >= least)
+    t = normalize_text(F.col(text))
+    keyed = rows.select("id", t.alias("t")).select("id", "t", F.sha2("t", 256).alias("h"))
+    entry = keyed.groupBy("h").agg(F.min("id").alias("id"), F.min(block_key(F.col("t"))).alias("block"), F.min(F.char_length("t")).alias("n"))
+    # lengths of a pair differ by less than this factor
+    factor = 1.0001 * (200.0 - least) / least
+    band = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / F.lit(math.log(factor)))).cast("int")
+    banded = entry.withColumn("band", band)
+    a = banded.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"), "block", "band")
+    b = banded.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"), "block", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    pairs = a.join(b, ["block", "band"]).where(((F.col("own") != F.col("band")) | (F.col("a") < F.col("b"))) & (200 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb"))))
+    pairs = pairs.select(*(F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a0"), ("b", "a", "b0"), ("ha", "hb", "ha0"), ("hb", "ha", "hb0"))))
+    texts = keyed.groupBy("h").agg(F.min("t").alias("t"))
+    both = pairs.join(texts.select(F.col("h").alias("ha0"), F.col("t").alias("ta")), "ha0").join(texts.select(F.col("h").alias("hb0"), F.col("t").alias("tb")), "hb0")
+    return both.select(F.col("a0").alias("a"), F.col("b0").alias("b"), indel_ratio(F.col("ta"), F.col("tb")).alias("ratio")).where(F.col("ratio") >= least)
+
+
+def report(rows: DataFrame, most: int = 200, text: str = "text", preview: int = 220) -> DataFrame:
+    """(kind, id, similar_id, score, text_preview): copies first, then near-duplicates, each by id, up to ``most`` rows."""
+    exact = exact_groups(rows, text).where("id <> kept").select(F.lit("exact").alias("kind"), "id", F.col("kept").alias("similar_id"), F.lit(100.0).alias("score"))
+    near = near_duplicates(rows, text=text).select(F.lit("near").alias("kind"), F.col("a").alias("id"), F.col("b").alias("similar_id"), F.col("ratio").alias("score"))
+    found = exact.unionByName(near).orderBy("kind", "id", "similar_id").limit(most)
+    return F.broadcast(found).join(rows.select("id", truncate(F.col(text), preview).alias("text_preview")), "id").select("kind", "id", "similar_id", "score", "text_preview").orderBy("kind", "id", "similar_id")
 
 
 def exact_groups(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -40,6 +40,26 @@ def first_row(table: DataFrame, order: str, **equal: Any) -> DataFrame:
     return found
 
 
+#: Columns of a result story, in order, with their types.
+STORY = (
+    "result_id string, display_name string, method_type string, evaluation_scope string, main_or_auxiliary string, independent_external_validation boolean, label_guided_representation boolean, "
+    "ari double, ami double, nmi double, homogeneity double, completeness double, v_measure double, pairwise_f1 double, macro_f1 double, micro_f1 double, weighted_f1 double, precision double, recall double, subset_accuracy double, note string"
+)
+
+
+def story(parts: Sequence[tuple[Mapping[str, Any], DataFrame]]) -> DataFrame:
+    """One row a part under the story's columns: its own words beside its metrics, null where a metric does not apply."""
+    out = None
+    for words, found in parts:
+        named = found.select(*found.columns, *(F.lit(v).alias(k) for k, v in words.items()))
+        kinds = [c.split() for c in STORY.split(", ")]
+        row = named.select(*((F.col(c) if c in named.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("a story needs a part")
+    return out
+
+
 def before_after(before: Mapping[str, float | None], after: Mapping[str, float | None], spark) -> DataFrame:
     """(metric, before, after) over the keys of both, null on the absent side."""
     of = lambda d, name: spark.createDataFrame([(k, v) for k, v in d.items()], f"metric string, {name} double")

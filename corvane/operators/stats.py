@@ -88,3 +88,11 @@ def describe(rows: DataFrame, value: str, by: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and the 5, 25, 50, 75 and 95 percentiles of each group."""
     p = [F.percentile(value, q / 100).alias(f"p{q:02d}") for q in (5, 25, 50, 75, 95)]
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *p, F.max(value).alias("max"))
+
+
+def sanity(rows: DataFrame, by: str = "cl") -> DataFrame:
+    """One row: rows, distinct clusters and the largest one's share, distinct months, values that are there, and rows without tags."""
+    largest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.count("*").alias("clusters"))
+    whole = rows.agg(F.count("*").alias("rows"), F.count_distinct("year", "month").alias("months"), F.count("text").alias("texts"), F.count("lang").alias("langs"), F.count_if(F.size("tags") == 0).alias("untagged"))
+    share = F.try_divide(F.col("largest"), F.col("rows"))
+    return whole.crossJoin(F.broadcast(largest)).select("rows", "clusters", share.alias("largest_share"), "months", "texts", "langs", "untagged")

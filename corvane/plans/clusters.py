@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import count_blank_words, structure, truncate
+from ..functions.text import count_blank_words, normalize_text, structure
 from ..operators import features, stats
 from ..operators.labels import exploded
 from ..sources.config import MACROS, OTHER
@@ -187,9 +187,36 @@ def report_ready_summary(spark, sf_dir):
     return rounded(size.join(pure, "cl", "left").crossJoin(F.broadcast(rows.agg(F.count("*").alias("all_rows")))))
 
 
-@query(CTE + f"SELECT id, cl, year, lang, array_to_string(tags, '|') AS tags, CASE WHEN length(t) <= 40 THEN t ELSE rtrim(substr(t, 1, 39), ' ') || '…' END AS preview FROM (SELECT *, {norm_sql('text')} AS t FROM corpus)")
+#: Columns of the export, in order.
+EXPORT = ("id", "year", "month", "text_clean", "tags_raw", "macro_tags", "cluster_final", "cluster_method", "feature_set", "umap2_x", "umap2_y", "umap3_x", "umap3_y", "umap3_z")
+
+
+@query(CTE + f"""SELECT c.id, year, month, t AS text_clean, to_json(tags)::VARCHAR AS tags_raw, to_json(macros)::VARCHAR AS macro_tags, cl AS cluster_final, 'source' AS cluster_method, 'dense' AS feature_set,
+round(p[1], 6) AS umap2_x, round(p[2], 6) AS umap2_y, round(p[3], 6) AS umap3_x, round(p[4], 6) AS umap3_y, round(p[5], 6) AS umap3_z
+FROM (SELECT *, {norm_sql('text')} AS t FROM corpus) c JOIN (SELECT id, macros FROM cm) m ON c.id = m.id LEFT JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS p FROM embeddings) e ON e.vec_id = c.id""")
 def export_projection(spark, sf_dir):
-    return corpus(spark, sf_dir).select("id", "cl", "year", "lang", F.array_join("tags", "|").alias("tags"), truncate(F.col("text"), 40).alias("preview"))
+    """Rows with their labels, final cluster and plot coordinates; the vectors' first numbers stand in for a layout's, which SQL cannot make."""
+    point = parquet(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(EXPORT[9:])))
+    rows = corpus(spark, sf_dir).join(labelled(spark, sf_dir).select("id", "macros"), "id").join(point, "id", "left")
+    made = {"text_clean": normalize_text(F.col("text")), "tags_raw": F.to_json("tags"), "macro_tags": F.to_json("macros"), "cluster_final": F.col("cl"), "cluster_method": F.lit("source"), "feature_set": F.lit("dense")}
+    return rounded(rows.withColumns(made).select(*EXPORT))
+
+
+@query(CTE + """, c1 AS (SELECT cl, tag, count(*) AS n FROM et GROUP BY ALL), p1 AS (SELECT cl, min(row(-n, tag)) AS top, sum(n) AS total FROM c1 GROUP BY cl),
+c2 AS (SELECT cl, macro AS tag, count(*) AS n FROM em WHERE cl % 2 = 0 GROUP BY ALL), p2 AS (SELECT cl, min(row(-n, tag)) AS top, sum(n) AS total FROM c2 GROUP BY cl)
+SELECT coalesce(p1.cl, p2.cl) AS cl, p1.top[2] AS raw_tag, round(-p1.top[1] / p1.total, 6) AS raw_share, p2.top[2] AS macro_tag, round(-p2.top[1] / p2.total, 6) AS macro_share FROM p1 FULL JOIN p2 ON p1.cl = p2.cl""")
+def purity_outer_join(spark, sf_dir):
+    """Purity by raw tags beside purity by categories; a cluster that one of them lacks stays (the odd ones have no categories here)."""
+    raw = stats.purity(stats.tag_counts(exploded(corpus(spark, sf_dir), keep=("id", "cl"))))
+    macro = stats.purity(stats.tag_counts(_macros(spark, sf_dir).where("cl % 2 = 0"), tag="macro"), tag="macro")
+    named = lambda d, n: d.select("cl", F.col("dominant").alias(f"{n}_tag"), F.col("share").alias(f"{n}_share"))
+    return rounded(named(raw, "raw").join(named(macro, "macro"), "cl", "full"))
+
+
+@query(CTE + """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT cl) AS BIGINT) AS clusters, round((SELECT max(n) FROM (SELECT count(*) AS n FROM corpus GROUP BY cl)) / count(*), 6) AS largest_share, CAST(count(DISTINCT (year, month)) AS BIGINT) AS months,
+CAST(count(text) AS BIGINT) AS texts, CAST(count(lang) AS BIGINT) AS langs, CAST(count(*) FILTER (len(tags) = 0) AS BIGINT) AS untagged FROM corpus""")
+def sanity_report(spark, sf_dir):
+    return rounded(stats.sanity(corpus(spark, sf_dir)))
 
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
@@ -246,11 +273,14 @@ def structural_vectors(spark, sf_dir):
     return features.structural(corpus(spark, sf_dir).select("id", "text"))
 
 
-@query("""SELECT vec_id AS id, round(0.75 * embedding[1] / n, 6) AS first, round(0.25 * embedding[64] / n, 6) AS last FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 0.625))) AS n FROM embeddings)""")
+@query("""SELECT vec_id AS id, round(0.75::DOUBLE * v[1] / n, 6) AS first, round(0.25::DOUBLE * v[2] / n, 6) AS last, CAST(len(v) + 16 AS BIGINT) AS width FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x * 0.5625::DOUBLE)) + list_sum(list_transform(range(1, 17), lambda i: v[2 * i] * v[2 * i] * 0.0625::DOUBLE))) AS n
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings))""")
 def hybrid_features(spark, sf_dir):
     e = parquet(spark, sf_dir, "embeddings")
-    v = features.hybrid([(F.col("embedding"), 0.75), (F.col("embedding"), 0.25)])
-    return rounded(e.select(F.col("vec_id").alias("id"), v.alias("v")).select("id", F.col("v")[0].alias("first"), F.col("v")[127].alias("last")))
+    other = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("embedding", 2 * i + 1))
+    v = features.hybrid([(F.col("embedding"), 0.75), (other, 0.25)])
+    made = e.select(F.col("vec_id").alias("id"), v.alias("v"), F.size("embedding").alias("d"))
+    return rounded(made.select("id", F.col("v")[0].alias("first"), F.get("v", F.col("d")).alias("last"), F.size("v").cast("long").alias("width")))
 
 
 @query()

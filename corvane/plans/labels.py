@@ -11,9 +11,10 @@ from .base import CTE, labelled, rounded
 from .registry import query
 from .scans import _H
 
-# stand-ins for reviewed lists: tags that fit two categories, and categories that are wide
-AMBIGUOUS, BROAD = ("hq", "src3"), ("src_low", "src_mid")
-_STATUS = "CASE WHEN macro IS NULL THEN 'unmapped' WHEN tag IN ('hq', 'src3') THEN 'ambiguous' WHEN macro IN ('src_low', 'src_mid') THEN 'broad' ELSE 'direct' END"
+# stand-ins for reviewed lists: tags that are debatable, and (categories, tags) that are formal or wide
+DEBATABLE, FORMAL, BROAD = ("hq", "src3"), (("safety",), ("src5",)), (("src_low",), ("de",))
+_BRANCH = "CASE WHEN tag IN ('hq', 'src3') THEN {0} WHEN coalesce(macro, 'other') = 'safety' OR tag = 'src5' THEN {1} WHEN coalesce(macro, 'other') = 'src_low' OR tag = 'de' THEN {2} WHEN macro IS NULL THEN {3} ELSE {4} END"
+_STATUS, _RATIONALE = (_BRANCH.format(*(f"'{x}'" for x in values)) for values in (ops.STATUSES, ops.RATIONALES))
 
 
 @query(CTE + "SELECT id, cl, array_to_string(macros, '|') AS macros, mask FROM cm")
@@ -21,6 +22,31 @@ def tag_macro_map(spark, sf_dir):
     return labelled(spark, sf_dir).select("id", "cl", F.array_join("macros", "|").alias("macros"), "mask")
 
 
+#: The mapping with tags as people type them, blank ones, and one that stands twice.
+TYPED = {"romance": ["FR", "  Es "], "germanic": [" dE"], "quality": ["HQ", "Lq", " "], "safety": ["toxic", "src 1"], "origin": ["SRC  1", "Src2"]}
+
+
+@query(CTE + """, typed AS (SELECT id, cl, unnest(list_concat(list_transform(tags, lambda t: CASE WHEN starts_with(t, 'src') THEN ' Src  ' || t[4:] ELSE upper(t) || ' ' END), ['  '])) AS tag FROM corpus),
+norm AS (SELECT id, cl, tag, lower(regexp_replace(trim(tag), ' +', ' ', 'g')) AS t FROM typed),
+hit AS (SELECT id, cl, tag, t, CASE WHEN t IN ('fr', 'es') THEN 0 WHEN t = 'de' THEN 1 WHEN t IN ('hq', 'lq') THEN 2 WHEN t = 'toxic' THEN 3 WHEN t = 'src 1' THEN 4 END AS pos FROM norm)
+SELECT id, cl, coalesce(string_agg(DISTINCT pos::VARCHAR, '' ORDER BY pos::VARCHAR) FILTER (pos IS NOT NULL), 'other') AS places, CAST(coalesce(bit_or(1::BIGINT << pos) FILTER (pos IS NOT NULL), 32) AS BIGINT) AS mask,
+coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag) FILTER (pos IS NULL AND t <> ''), '') AS unmapped FROM hit GROUP BY id, cl""")
+def tag_map_normalized(spark, sf_dir):
+    """Mapping and row tags in other cases and with blanks meet all the same."""
+    typed = F.transform("tags", lambda t: F.when(t.startswith("src"), F.concat(F.lit(" Src  "), F.substring(t, 4, 9))).otherwise(F.concat(F.upper(t), F.lit(" "))))
+    rows = corpus(spark, sf_dir).withColumn("tags", F.concat(typed, F.array(F.lit("  "))))
+    found = ops.map_tags(rows, mapping_table(spark, TYPED))
+    place = F.transform("macros", lambda m: F.coalesce(F.create_map(*(F.lit(x) for i, k in enumerate(TYPED) for x in (k, str(i))))[m], m))
+    return found.select("id", "cl", F.array_join(place, "").alias("places"), "mask", F.array_join("unmapped", "|").alias("unmapped"))
+
+
+@query(CTE + """SELECT id, tags[1] AS tag FROM corpus WHERE len(tags) = 1""")
+def single_label_rows(spark, sf_dir):
+    """The filter on labels stored as JSON text."""
+    stored = corpus(spark, sf_dir).select("id", F.to_json("tags").alias("tags"))
+    return ops.single_label(stored, "tags").select("id", F.from_json("tags", "array<string>")[0].alias("tag"))
+
+
 @query(CTE + "SELECT tag, CAST(count(*) AS BIGINT) AS n FROM et WHERE tag NOT IN (SELECT tag FROM map) GROUP BY tag")
 def unmapped_tags(spark, sf_dir):
     return ops.unmapped_tags(corpus(spark, sf_dir), mapping_table(spark))
@@ -65,12 +91,12 @@ def remap_unmapped_rows(spark, sf_dir):
 
 _AUDIT = f""", t AS (SELECT tag, count(*) AS n FROM et GROUP BY tag),
 x AS (SELECT tag, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) AS examples FROM (SELECT tag, id, row_number() OVER (PARTITION BY tag ORDER BY id) AS r FROM (SELECT DISTINCT tag, id FROM et)) WHERE r <= 5 GROUP BY tag),
-au AS (SELECT tag AS tag_norm, tag AS tag_raw, CAST(n AS BIGINT) AS n, examples, coalesce(macro, 'other') AS macro, {_STATUS} AS status FROM t JOIN x USING (tag) LEFT JOIN map USING (tag))
+au AS (SELECT tag AS tag_norm, tag AS tag_raw, CAST(n AS BIGINT) AS n, examples, coalesce(macro, 'other') AS macro, {_STATUS} AS status, {_RATIONALE} AS rationale FROM t JOIN x USING (tag) LEFT JOIN map USING (tag))
 """
 
 
 def _audit(spark, sf_dir):
-    return ops.audit(corpus(spark, sf_dir), mapping_table(spark), AMBIGUOUS, BROAD)
+    return ops.audit(corpus(spark, sf_dir), mapping_table(spark), DEBATABLE, FORMAL, BROAD)
 
 
 @query(CTE + _AUDIT + "SELECT * FROM au")

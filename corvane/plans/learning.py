@@ -28,6 +28,19 @@ def stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("id", "split")
 
 
+@query(CTE + """, s0 AS (SELECT id, macros[1] AS m, count(*) OVER (PARTITION BY macros[1]) AS c FROM cm), s1 AS (SELECT id, CASE WHEN (SELECT min(c) FROM s0) >= 2 THEN m END AS stratum FROM s0),
+s AS (SELECT id, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || id)) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s1)
+SELECT id, CASE WHEN (r + 0.5) / n < 0.6 THEN 'train' WHEN (r + 0.5) / n < 0.8 THEN 'validation' ELSE 'holdout' END AS split FROM s""")
+def holdout_split(spark, sf_dir):
+    """60/20/20, without strata if one of them cannot be parted."""
+    return _holdout(spark, sf_dir).select("id", "split")
+
+
+def _holdout(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("id", "macros", "mask", F.get("macros", F.lit(0)).alias("stratum"))
+    return ops.split_rows(rows, "stratum", 7, (0.6, 0.2, 0.2), ("train", "validation", "holdout"))
+
+
 _SCORES = ", sc AS (SELECT id, label, CAST(list_contains(macros, label) AS INT) AS y, round(((id * 31 + ascii(label) * 7 + length(label)) % 101) / 50.0 - 1.5, 6) AS score FROM cm CROSS JOIN (SELECT unnest([" + ", ".join(f"'{c}'" for c in CLASSES) + "]) AS label))\n"
 _HAT = ", hat AS (SELECT id, label, y, CAST(score >= 0 OR (max(score) OVER (PARTITION BY id) < 0 AND row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1) AS INT) AS y_hat FROM sc)\n"
 

@@ -70,19 +70,10 @@ def pairwise_bruteforce(spark, sf_dir):
     return ops.pair_counts(_rows(spark, sf_dir), []).select("total_pairs", "model_pairs", "label_pairs", "tp")
 
 
-@query()
+@query(CTE + _PAIR.format("cm") + "SELECT total_pairs AS pairs_evaluated, tp, fp, fn, tn, round(p, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * p * rc / nullif(p + rc, 0), 0), 6) AS f1, TRUE AS exact, total_pairs AS total_possible_pairs FROM pr WHERE total_pairs <= 1000000")
 def pairwise_sampled(spark, sf_dir):
-    """Agreement over random pairs: each row with the next ones in a random order, about a million pairs or all neighbours."""
-    from ..operators.corpus import sample_order
-
-    rows = _rows(spark, sf_dir).withColumn("o", sample_order(42, "id"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.substring("o", 1, 2)).orderBy("o")
-    pairs = rows.select("k", "mask", *(F.lead(F.struct("k", "mask"), i).over(w).alias(f"n{i}") for i in range(1, 9)))
-    each = pairs.select("k", "mask", F.explode(F.array(*(f"n{i}" for i in range(1, 9)))).alias("n")).where("n IS NOT NULL")
-    same, label = F.col("k") == F.col("n.k"), F.col("mask").bitwiseAND(F.col("n.mask")) != 0
-    return each.agg(F.count("*").alias("pairs"), F.count_if(same).alias("model_pairs"), F.count_if(label).alias("label_pairs"), F.count_if(same & label).alias("tp"))
+    """Agreement over all pairs up to a million of them, over a million random ones beyond (where the SQL has no row)."""
+    return rounded(ops.sampled_pair_counts(_rows(spark, sf_dir), 42))
 
 
 _SUB = """, sub AS (SELECT *, unnest(list_filter(['all', CASE WHEN NOT list_contains(macros, 'other') THEN 'excluding_other' END, CASE WHEN NOT list_contains(macros, 'other') AND len(macros) = 1 THEN 'single_clear_label' END,

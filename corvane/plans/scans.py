@@ -78,9 +78,16 @@ def alignment_check(spark, sf_dir):
 @query(f"""WITH c AS (SELECT doc_id // 1024 AS c, sha256(string_agg({_HASH}, chr(10) ORDER BY doc_id) || chr(10)) AS h FROM documents GROUP BY 1)
 SELECT sha256(string_agg(h, chr(10) ORDER BY c) || chr(10)) AS checksum FROM c""")
 def column_checksum(spark, sf_dir):
+    """A digest of the digests of runs of ordinals: the form that no task has to read in one piece."""
     return ops.chunked_checksum(_hashed(spark, sf_dir), F.col("hash"), "ord")
 
 
+@query(f"SELECT sha256(string_agg({_HASH}, chr(10) ORDER BY doc_id) || chr(10)) AS checksum FROM documents")
+def rolling_checksum(spark, sf_dir):
+    """The serial digest, line by line, in order."""
+    return spark.createDataFrame([(ops.rolling_checksum(_hashed(spark, sf_dir), "hash", "ord"),)], "checksum string")
+
+
 @query(f"""WITH m AS (SELECT CAST(year(d) AS BIGINT) AS year, CAST(month(d) AS BIGINT) AS month FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2026-12-01', INTERVAL 1 MONTH)) AS d))
 SELECT year, month, 0 AS candidate, format('{BASE}/{{:04d}}/{{:02d}}/', year, month) AS url FROM m UNION ALL SELECT year, month, 1, format('{BASE}/{{:02d}}-{{:04d}}.html', month, year) FROM m""")
 def url_candidates(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import neardup
+from ..operators.features import tokens
 from ..sources.tables import corpus, parquet
 from .base import CTE, fold_sql, labelled, norm_sql, rounded
 from .registry import query
@@ -58,6 +59,14 @@ def length_stats(spark, sf_dir):
     return rounded(d.agg(*stats))
 
 
+@query(r"""SELECT CAST(min(n) AS BIGINT) AS min, median(n) AS median, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS max, CAST(count(*) FILTER (n > 512) AS BIGINT) AS truncated
+FROM (SELECT len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS n FROM documents)""")
+def token_length_stats(spark, sf_dir):
+    """Lengths in tokens of the hashed embedding, and texts longer than an encoder of 512 would take."""
+    n = _docs(spark, sf_dir).select(F.size(tokens(F.col("text"))).cast("long").alias("n"))
+    return rounded(n.agg(F.min("n").alias("min"), F.median("n").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if(F.col("n") > 512).alias("truncated")))
+
+
 @query("SELECT doc_id AS id, lower(source) || ' x' AS tag FROM documents")
 def normalize_tag(spark, sf_dir):
     raw = F.concat(F.lit("  "), F.upper("source"), F.lit(" \t X "))
@@ -79,6 +88,12 @@ def near_duplicates(spark, sf_dir):
     return rounded(neardup.near_duplicates(_docs(spark, sf_dir)))
 
 
+@query()
+def duplicate_report(spark, sf_dir):
+    """The first 200 copies and near-duplicates."""
+    return rounded(neardup.report(_docs(spark, sf_dir)))
+
+
 @query(f"SELECT doc_id AS id, kept FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_N}) AS kept, count(*) OVER (PARTITION BY {_N}) AS n FROM documents) WHERE n > 1")
 def exact_duplicate_groups(spark, sf_dir):
     return neardup.exact_groups(_docs(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fn
-from ..operators import cluster, knn, stats
+from ..operators import cluster, knn, metrics, stats
 from ..operators import vectors as ops
 from ..sources.tables import parquet
 from .base import rounded
@@ -72,17 +72,27 @@ def nn_similarity_describe(spark, sf_dir):
     return rounded(stats.describe(near, "s", "kind"))
 
 
+RANDOM_PAIRS = 20_000
+
+
+def _random_similarity(spark, sf_dir):
+    pairs = metrics.random_pairs(vectors(spark, sf_dir), RANDOM_PAIRS, 42, ["id", "v"])
+    return pairs.select(F.lit("random").alias("kind"), (1 - fn.cosine_distance(F.col("a.v"), F.col("b.v"))).alias("s"))
+
+
 @query()
 def random_pair_similarity(spark, sf_dir):
-    """Similarities of rows that follow each other in a random order."""
-    from pyspark.sql import Window
+    """Similarities of 20,000 random pairs of different rows."""
+    return rounded(stats.describe(_random_similarity(spark, sf_dir), "s", "kind"))
 
-    from ..operators.corpus import sample_order
 
-    o = vectors(spark, sf_dir).withColumn("o", sample_order(42, "id"))
-    w = Window.partitionBy(F.substring("o", 1, 1)).orderBy("o")
-    pairs = o.select("v", F.lead("v").over(w).alias("w")).where("w IS NOT NULL")
-    return rounded(stats.describe(pairs.select(F.lit("random").alias("kind"), fn.dot(F.col("v"), F.col("w")).alias("s")), "s", "kind"))
+@query()
+def neighbour_vs_random(spark, sf_dir):
+    """Both distributions side by side, with the difference of their means."""
+    near = knn.knn(vectors(spark, sf_dir), 1).select(F.lit("nearest").alias("kind"), (1 - F.col("distance")).alias("s"))
+    both = stats.describe(near.unionByName(_random_similarity(spark, sf_dir)), "s", "kind")
+    gap = both.agg((F.max(F.when(F.col("kind") == "nearest", F.col("mean"))) - F.max(F.when(F.col("kind") == "random", F.col("mean")))).alias("mean_difference"))
+    return rounded(both.crossJoin(F.broadcast(gap)))
 
 
 @query(_E + _CENTRE + """, u AS (SELECT id, cluster, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v), q AS (SELECT cluster, list(s ORDER BY d) AS s, any_value(n) AS n FROM (SELECT cluster, d, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(range(len(u))) AS d, unnest(u) AS x FROM u) GROUP BY ALL) GROUP BY cluster),
@@ -107,7 +117,9 @@ def davies_bouldin(spark, sf_dir):
 
 @query()
 def internal_metrics(spark, sf_dir):
-    return ops.internal(vectors(spark, sf_dir))
+    """All internal metrics of a labelling; the graph behind its modularity is made anew."""
+    v = vectors(spark, sf_dir)
+    return rounded(ops.internal(v, graph=lambda: knn.edges(knn.knn(v, K))))
 
 
 @query(_KNN + """, e AS (SELECT least(id, neighbour) AS src, greatest(id, neighbour) AS dst, avg(greatest(0, 1 - distance)) AS w FROM n GROUP BY ALL), l AS (SELECT w, a.cluster AS ca, b.cluster AS cb FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Mapping of the stored tables' tags, in order.
 MACROS: dict[str, list[str]] = {
@@ -20,15 +22,15 @@ MACROS: dict[str, list[str]] = {
 }
 HIERARCHY: dict[str, list[str]] = {"language": ["romance", "germanic"], "content": ["quality", "safety"], "origin": ["src_low", "src_mid", "other"]}
 OTHER = "other"
-#: Keys of a manifest that tell whether a result is still valid.
-IDENTITY = ("model_id", "row_count", "text_column", "checksum", "normalize", "pca_dim")
+#: Keys of a manifest that tell whether a result is still valid.
+IDENTITY = ("dataset_path", "dataset_row_count", "model_id", "normalized", "seed", "text_hash_checksum")
 
 
 def load_mapping(path: str) -> dict[str, list[str]]:
     """Category -> tags, in the file's order."""
     import yaml
 
-    return {k: list(v or []) for k, v in yaml.safe_load(Path(path).read_text("utf-8")).items()}
+    return {str(k): [str(t) for t in v or []] for k, v in (yaml.safe_load(Path(path).read_text("utf-8")) or {}).items()}
 
 
 def load_hierarchy(path: str) -> dict[str, list[str]]:
@@ -48,9 +50,14 @@ def check_hierarchy(found: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     return {k: list(v) for k, v in found.items()}
 
 
+def plain_tag(tag: Any) -> str:
+    """The normal form of a tag, as ``functions.text.normalize_tag`` has it for columns."""
+    return " ".join(str(tag or "").casefold().split())
+
+
 def mapping_table(spark: SparkSession, mapping: Mapping[str, Sequence[str]] = MACROS) -> DataFrame:
-    """(pos, macro, tag); of a tag that stands twice, the later place holds. It is as small as its file."""
-    by_tag = {t: (i, macro) for i, (macro, tags) in enumerate(mapping.items()) for t in tags}
+    """(pos, macro, tag) with tags in normal form, blank ones left out; of a tag that stands twice, the later place holds. It is as small as its file."""
+    by_tag = {plain_tag(t): (i, macro) for i, (macro, tags) in enumerate(mapping.items()) for t in tags if plain_tag(t)}
     return spark.createDataFrame([(i, macro, t) for t, (i, macro) in by_tag.items()], "pos int, macro string, tag string")
 
 
@@ -73,6 +80,27 @@ def manifest_matches(path: str, expected: Mapping[str, Any], keys: Sequence[str]
     return found is not None and all(found.get(k) == expected.get(k) for k in keys)
 
 
+def assemble_manifest(identity: Mapping[str, Any], vectors: DataFrame, reduced: DataFrame | None = None, tokens: DataFrame | None = None, **facts: Any) -> dict[str, Any]:
+    """Identity keys first, then shapes, time, statistics of ``tokens`` (n, truncated), and what else is known.
+
+    ``vectors`` and ``reduced`` have v; each is one aggregation, and a number or two of it reach the driver.
+    """
+    absent = [k for k in IDENTITY if k not in identity]
+    if absent:
+        raise KeyError(f"identity lacks {absent}")
+
+    def shape(of: DataFrame | None) -> list[int] | None:
+        found = of.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first() if of is not None else None
+        return [found["n"], found["d"] or 0] if found else None
+
+    stats, truncated = None, None
+    if tokens is not None:
+        t = tokens.agg(F.min("n").alias("min"), F.median("n").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("max"), F.count_if("truncated").alias("truncated")).first()
+        stats, truncated = {k: t[k] for k in ("min", "median", "mean", "max")}, t["truncated"]
+    made = {"embedding_shape": shape(vectors), "pca_shape": shape(reduced), "created_at": datetime.now(UTC).isoformat(), "token_length_stats": stats, "truncated_text_count": truncated}
+    return {k: identity[k] for k in IDENTITY} | made | facts
+
+
 def write_manifest(path: str, values: Mapping[str, Any]) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(values, ensure_ascii=False, indent=2, sort_keys=True) + "\n", "utf-8")

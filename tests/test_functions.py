@@ -210,8 +210,8 @@ def test_months_roll_over(spark):
 def test_files(spark, tmp_path):
     path = str(tmp_path / "m.json")
     assert config.read_manifest(path) is None
-    config.write_manifest(path, {"model_id": "m", "row_count": 3})
-    assert config.manifest_matches(path, {"model_id": "m", "row_count": 3}) and not config.manifest_matches(path, {"model_id": "n", "row_count": 3})
+    config.write_manifest(path, {"model_id": "m", "dataset_row_count": 3})
+    assert config.manifest_matches(path, {"model_id": "m", "dataset_row_count": 3}) and not config.manifest_matches(path, {"model_id": "n", "dataset_row_count": 3})
     (tmp_path / "m.json").write_text("{")
     assert not config.manifest_matches(path, {})
     df = spark.createDataFrame([(1, 'a "quoted", text\nline', ["x", "é"])], "id long, text string, tags array<string>")
