@@ -11,14 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 20_000  # linkage methods hold all distances of a group in one task's memory
+EXACT_ROWS = 8_000  # linkage methods hold all distances of a group in one task's memory: half a gigabyte, and as much in between
 
 
-def kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = (0,), iterations: int = 20) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = tuple(range(10)), iterations: int = 20) -> DataFrame:
     """(id, cluster) of the seed with the lowest cost."""
     rows = vectors.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features")).persist()
     models = [KMeans(k=k, seed=s, maxIter=iterations).fit(rows) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     return best.transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 

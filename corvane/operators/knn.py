@@ -19,8 +19,8 @@ def _nearest(k: int, metric: str):
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         out = {"id": [], "neighbour": [], "distance": []}
         if len(queries) and len(base):
-            b = np.stack(base["v"].to_numpy()).astype(np.float64)
-            ids = base["id"].to_numpy()
+            b = np.stack(base["base_v"].to_numpy()).astype(np.float64)
+            ids = base["base_id"].to_numpy()
             if metric == "cosine":
                 b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
             order = np.argsort(ids, kind="stable")
@@ -60,7 +60,7 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", queries: DataFrame |
     query_blocks = max(blocks, int(vectors.sparkSession.sparkContext.defaultParallelism))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("q"), numbers(blocks).alias("b"))
-    right = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), numbers(query_blocks).alias("q"))
+    right = vectors.select(F.col("id").alias("base_id"), F.col("v").alias("base_v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), numbers(query_blocks).alias("q"))
     found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(_nearest(k, metric), "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -82,10 +82,12 @@ def random_negatives(rows: DataFrame, per_anchor: int, seed: int, tags: str = "m
     return found.select(F.col("id").alias("a"), F.explode(good).alias("x")).select("a", F.col("x.id").alias("b"))
 
 
-def distinct_pairs(pairs: DataFrame) -> DataFrame:
-    """One row for each unordered pair and class: (a, b, y) with a < b; the source that comes first by name stays."""
+def distinct_pairs(pairs: DataFrame, sources: Sequence[str] = ()) -> DataFrame:
+    """One row for each unordered pair and class: (a, b, y) with a < b; the source that is first in ``sources`` stays, or the first by name."""
     lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    return pairs.select(lo, hi, "y", "source").groupBy("lo", "hi", "y").agg(F.min("source").alias("source")).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "y", "source")
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, sources)), F.col("source")), F.lit(0)), F.lit(len(sources) + 1)) if sources else F.lit(0)
+    first = F.min(F.struct(order.alias("o"), "source")).alias("f")
+    return pairs.select(lo, hi, "y", "source").groupBy("lo", "hi", "y").agg(first).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "y", F.col("f.source").alias("source"))
 
 
 def force_one(scores: DataFrame) -> DataFrame:
@@ -125,9 +127,62 @@ def one_vs_rest(features: DataFrame, labels: Sequence[str], train: str = "train"
         y = x.withColumn("label", F.array_contains("macros", label).cast("double"))
         model = LogisticRegression(maxIter=50, regParam=1e-4).fit(y.where(F.col("split") == train))
         out.append(model.transform(y).select("id", "split", F.lit(label).alias("label"), vector_to_array("rawPrediction")[1].alias("score")))
+    x.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 
+TRAIN_ROWS = 20_000  # training rows of a sparse regression that reach the driver, those of the lowest digests
+TRAIN_PAIRS = 20_000  # pairs that a projection is fitted to on the driver
+
+
+def sparse_one_vs_rest(features: DataFrame, size: int, labels: Sequence[str], train: str = "train", alpha: float = 1e-4, epochs: int = 40, batch: int = 256, seed: int = 42) -> DataFrame:
+    """(id, split, label, y, score): logistic regressions of all labels at once by stochastic gradients, fitted on at most ``TRAIN_ROWS`` rows of one split.
+
+    ``features`` has id, split, macros, at and w (sparse rows below ``size``); the score is the log-odds, and every row is scored.
+    """
+    from .spaces import add_transposed, times
+
+    names = sorted(labels)
+    some = features.where(F.col("split") == train).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(TRAIN_ROWS).select("at", "w", *(F.array_contains("macros", c).cast("double").alias(f"y{i}") for i, c in enumerate(names))).toPandas()
+    n = some["at"].map(len).to_numpy(np.int64)
+    first = np.concatenate(([0], np.cumsum(n)))
+    at = np.concatenate(some["at"].tolist()).astype(np.int64) if n.sum() else np.empty(0, np.int64)
+    w = np.concatenate(some["w"].tolist()) if n.sum() else np.empty(0)
+    y = some[[f"y{i}" for i in range(len(names))]].to_numpy(float)
+    rng = np.random.default_rng(seed)
+    coef, bias = np.zeros((size, len(names))), np.zeros(len(names))
+    square, square_bias = np.full_like(coef, 1e-8), np.full_like(bias, 1e-8)
+    for _ in range(epochs):
+        order = rng.permutation(len(n))
+        for k in range(0, len(order), batch):
+            rows = order[k : k + batch]
+            sizes = n[rows]
+            entries = np.repeat(first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            p = 1 / (1 + np.exp(-np.clip(times(at[entries], w[entries], sizes, coef) + bias, -30, 30)))
+            error = (p - y[rows]) / len(rows)
+            step = alpha * coef
+            add_transposed(step, at[entries], w[entries], sizes, error)
+            square += step * step
+            square_bias += error.sum(0) ** 2
+            coef -= 0.3 * step / np.sqrt(square)
+            bias -= 0.3 * error.sum(0) / np.sqrt(square_bias)
+    shared = features.sparkSession.sparkContext.broadcast((coef, bias))  # features x labels
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .spaces import _flat
+
+        for b in batches:
+            weights, bias = shared.value
+            x = np.concatenate([times(at, w, n, weights) for at, w, n in _flat(b)]) + bias if b.num_rows else np.zeros((0, len(names)))
+            for i, name in enumerate(names):
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("split"), pa.array([name] * b.num_rows, pa.string()), b.column(f"y{i}"), pa.array(x[:, i])], ["id", "split", "label", "y", "score"])
+
+    marked = features.select("id", "split", "at", "w", *(F.array_contains("macros", c).cast("int").alias(f"y{i}") for i, c in enumerate(names)))
+    return marked.mapInArrow(run, f"id {features.schema['id'].dataType.simpleString()}, split string, label string, y int, score double")
+
+
 def train_projection(a: np.ndarray, b: np.ndarray, y: np.ndarray, dimensions: int = 64, margin: float = 0.2, epochs: int = 20, rate: float = 1e-3, decay: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, list[float]]:
     """Weights of tanh(x W) of unit length, fitted to y (1 - s)^2 + (1 - y) max(0, s - margin)^2 by AdamW; and the loss of each epoch."""
     rng = np.random.default_rng(seed)

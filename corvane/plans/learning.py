@@ -68,25 +68,27 @@ def multilabel_scores(spark, sf_dir):
     return rounded(ops.multilabel_scores(s.join(ops.force_one(s), ["id", "label"])))
 
 
-def _pairs(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", "macros")
+def train_pairs(spark, sf_dir):
+    """(a, b, y, source) within the training rows: partners that share a label, random ones that do not, and the nearest that do not."""
+    rows = _holdout(spark, sf_dir).where("split = 'train'").select("id", "macros").persist()
     named = lambda d, y, s: d.select("a", "b", F.lit(y).alias("y"), F.lit(s).alias("source"))
-    near = knn.knn(vectors(spark, sf_dir), 10).select("id", "neighbour", "rank")
-    return (
+    near = knn.knn(vectors(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), 30).select("id", "neighbour", "rank")
+    pairs = (
         named(ops.positives(rows, 2, 42), 1, "positive")
         .unionByName(named(ops.random_negatives(rows, 2, 42), 0, "random"))
         .unionByName(named(ops.hard_negatives(near, rows, 1), 0, "hard"))
     )
+    return ops.distinct_pairs(pairs, ("positive", "random", "hard"))
 
 
 @query()
 def pair_sampling(spark, sf_dir):
-    return ops.distinct_pairs(_pairs(spark, sf_dir))
+    return train_pairs(spark, sf_dir)
 
 
 @query()
 def pair_statistics(spark, sf_dir):
-    return ops.distinct_pairs(_pairs(spark, sf_dir)).groupBy("y", "source").agg(F.count("*").alias("n"))
+    return train_pairs(spark, sf_dir).groupBy("y", "source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT least(a, b) AS a, greatest(a, b) AS b, y, min(source) AS source FROM (SELECT o_custkey AS a, o_orderkey % 100 AS b, CAST(o_orderkey % 2 AS INT) AS y, o_orderpriority AS source FROM orders) GROUP BY 1, 2, 3")
@@ -108,21 +110,3 @@ def ovr_logistic(spark, sf_dir):
     return rounded(
         ops.multilabel_scores(pairs.where("split = 'validation'")).withColumn("split", F.lit("validation")).unionByName(ops.multilabel_scores(pairs.where("split = 'test'")).withColumn("split", F.lit("test")))
     )
-
-
-TRAIN_PAIRS = 20_000  # the projection is fitted on the driver from at most so many pairs
-
-
-@query()
-def contrastive_projection(spark, sf_dir):
-    """Vectors through a projection fitted to pairs that share a label, and to pairs that do not."""
-    import numpy as np
-
-    v = vectors(spark, sf_dir)
-    rows = labelled(spark, sf_dir).select("id", "macros").join(v.select("id"), "id")
-    pos = ops.positives(rows, 2, 42).withColumn("y", F.lit(1))
-    neg = ops.random_negatives(rows, 2, 42).withColumn("y", F.lit(0))
-    pairs = pos.unionByName(neg).join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    some = pairs.orderBy(F.xxhash64("a", "b", "y"), "a", "b").limit(TRAIN_PAIRS).toPandas()
-    w, _ = ops.train_projection(np.stack(some["va"]).astype(float), np.stack(some["vb"]).astype(float), some["y"].to_numpy(float))
-    return ops.project(v, w)

@@ -228,21 +228,30 @@ def link_dictionary(spark, sf_dir):
     return html.link_dictionary(html.links(parquet(spark, sf_dir, "pages")), BASE)
 
 
-@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<p>(?:<b>)?[^<]')) AS BIGINT) AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
-def page_blocks(spark, sf_dir):
+_PARAGRAPH = r"(?s)<p>([^<]+)</p>"
+
+
+def _boxed(spark, sf_dir):
+    """The stored pages with each plain paragraph laid in a box, tagged by the language in the page's address."""
     p = parquet(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_count("html", F.lit(r"(?s)<p>(?:<b>)?[^<]")).cast("long").alias("paragraphs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
+    tag = F.when(lang == "", "").otherwise(F.concat(F.lit('<div class="tags"><a href="/tags/'), lang, F.lit('">'), lang, F.lit("</a></div>")))
+    box = F.concat(F.lit('<div class="topicbox" data-t="j"><p class="title">01.02.2003</p><div class="text">$1</div>'), tag, F.lit('<span class="num">+5</span></div>'))
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_replace("html", F.lit(_PARAGRAPH), box).alias("html"))
+
+
+@query(f"SELECT page_id, CAST(len(regexp_extract_all(html, '{_PARAGRAPH}')) AS BIGINT) AS boxes, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_blocks(spark, sf_dir):
+    """Boxes that the parser finds on each page."""
+    p = _boxed(spark, sf_dir)
+    found = html.blocks(p.select("page_id", "html")).where("body IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("boxes"))
+    return p.select("page_id", "title").join(found, "page_id", "left").select("page_id", F.coalesce("boxes", F.lit(0)).cast("long").alias("boxes"), "title")
 
 
 @query()
 def page_records(spark, sf_dir):
-    """Boxes laid around the stored pages' paragraphs, parsed back into corpus records."""
-    p = parquet(spark, sf_dir, "pages")
-    body = F.regexp_extract("html", r"(?s)<p>([^<]+)</p>", 1)
-    tag = F.concat(F.lit('<div class="tags"><a href="/tags/'), F.regexp_extract("url", "/(en|fr|de|es)/", 1), F.lit('">'), F.regexp_extract("url", "/(en|fr|de|es)/", 1), F.lit("</a></div>"))
-    box = F.concat(F.lit('<div class="topicbox" data-id="'), F.col("page_id").cast("string"), F.lit('" data-t="j"><p class="title">01.02.2003</p><div class="text">'), body, F.lit("</div>"), tag, F.lit('<span class="num">+5</span></div>'))
-    found = html.blocks(p.select("page_id", box.alias("html")))
-    return html.records(found, 2003, 2, BASE).drop("tags_raw")
+    """All boxes of all pages as corpus records."""
+    return html.records(html.blocks(_boxed(spark, sf_dir).select("page_id", "html")), 2003, 2, BASE).drop("tags_raw")
 
 
 @query("""SELECT h AS host, page_id FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS h, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) AS r FROM pages WHERE trim(html, ' ') <> '' AND page_id % 3 <> 0) WHERE r = 1""")

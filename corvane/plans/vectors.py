@@ -143,7 +143,7 @@ def plot_layout(spark, sf_dir):
 
 @query()
 def kmeans(spark, sf_dir):
-    return cluster.kmeans(vectors(spark, sf_dir), 10, seeds=(0, 1, 2))
+    return cluster.kmeans(vectors(spark, sf_dir), 10)
 
 
 def _configs(spark, rows, schema):
@@ -166,31 +166,11 @@ def hdbscan(spark, sf_dir):
     return cluster.grouped(vectors(spark, sf_dir).select("id", "v"), _configs(spark, [(1, "hdbscan", 10), (2, "hdbscan_leaf", 10)], "method string, size int"))
 
 
-@query()
-def stability_grid(spark, sf_dir):
-    """Agreement of all pairs of partitions over two neighbour counts, two resolutions and two seeds."""
-    from functools import reduce
-
-    from ..operators import metrics
-
-    v = vectors(spark, sf_dir)
-    neighbours = knn.knn(v, 20).persist()
-    graphs = reduce(lambda a, b: a.unionByName(b), (knn.edges(neighbours.where(F.col("rank") <= k)).withColumn("k", F.lit(k)) for k in (10, 20)))
-    grid = [(i, k, g, s) for i, (k, g, s) in enumerate((k, g, s) for k in (10, 20) for g in (0.8, 1.2) for s in (7, 42))]
-    configs = _configs(spark, grid, "k int, gamma double, seed long")
-    found = cluster.leiden(graphs.join(F.broadcast(configs.select("config_id", "k")), "k").drop("k"), configs.drop("k")).persist()
-    other = found.select("id", F.col("config_id").alias("run_b"), F.col("cluster").alias("k"))
-    both = found.withColumnsRenamed({"config_id": "run_a", "cluster": "t"}).join(other, "id").where("run_a < run_b")
-    return rounded(metrics.external(both, ["run_a", "run_b"]).select("run_a", "run_b", "ari", "ami"))
-
-
 @query()
 def cluster_search(spark, sf_dir):
-    """Runs of four methods scored in one grouped pass, best first; a linkage run that cannot be made is a row with its reason and a score of -999."""
+    """A few runs of four methods (``operators.search.grid`` has all 1,080) scored in one grouped pass, best first; a linkage run that cannot be made is a row with its reason and a score of -999."""
     from functools import reduce
 
-    from ..operators import metrics
-
     v = vectors(spark, sf_dir)
     graph = knn.edges(knn.knn(v, K))
     linkage = [(10, "agglomerative", 12), (11, "agglomerative", 20), (20, "hdbscan", 10)]
@@ -199,7 +179,7 @@ def cluster_search(spark, sf_dir):
     runs = [
         cluster.leiden(graph, _configs(spark, [(i, g, 7) for i, g in enumerate((0.5, 1.0, 2.0))], "gamma double, seed long")).withColumn("method", F.lit("leiden")),
         linked.where("reason IS NULL").drop("reason"),
-        *(cluster.kmeans(v, k).select(F.lit(30 + k).cast("long").alias("config_id"), "id", F.col("cluster").cast("long").alias("cluster"), F.lit("kmeans").alias("method")) for k in (8, 12)),
+        *(cluster.kmeans(v, k, seeds=(0,)).select(F.lit(30 + k).cast("long").alias("config_id"), "id", F.col("cluster").cast("long").alias("cluster"), F.lit("kmeans").alias("method")) for k in (8, 12)),
     ]
     rows = reduce(lambda a, b: a.unionByName(b), runs).join(v.select("id", F.col("cluster").alias("t")), "id").withColumns({"k": F.col("cluster"), "mask": F.expr("shiftleft(1L, CAST(t AS INT))")}).persist()
     noise = rows.groupBy("config_id", "method").agg(F.avg((F.col("cluster") == -1).cast("double")).alias("noise_share"))
@@ -212,15 +192,15 @@ def cluster_search(spark, sf_dir):
 
 @query()
 def feature_ablation(spark, sf_dir):
-    """k-means over feature variants: the vectors, a projection, and weighted hybrids of both."""
+    """k-means over feature variants: the vectors, a projection, and weighted hybrids of both; ``operators.search.minibatch_kmeans`` takes all 86 sets."""
     from functools import reduce
 
-    from ..operators import features, metrics
+    from ..operators import features
 
     v = vectors(spark, sf_dir)
     small, _ = ops.pca(v.select("id", "v"), 16)
     both = v.join(small.withColumnRenamed("v", "p"), "id").persist()
     variants = {"dense": F.col("v").cast("array<double>"), "pca": F.col("p")} | {f"hybrid_dw{a:.2f}": features.hybrid([(F.col("v"), a), (F.col("p"), 1 - a)]) for a in (0.25, 0.5, 0.75)}
-    runs = [cluster.kmeans(both.select("id", c.alias("v")), 12).withColumn("feature_set", F.lit(n)) for n, c in variants.items()]
+    runs = [cluster.kmeans(both.select("id", c.alias("v")), 12, seeds=(0,)).withColumn("feature_set", F.lit(n)) for n, c in variants.items()]
     rows = reduce(lambda a, b: a.unionByName(b), runs).join(v.select("id", F.col("cluster").alias("t")), "id").withColumn("k", F.col("cluster"))
     return rounded(metrics.external(rows, ["feature_set"]))
