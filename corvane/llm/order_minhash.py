@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,8 @@ SKETCHES = 16
 TAKE = 2
 BLOCK_WORDS = 1 << 20  # k-mers of a bucket that one task holds; larger buckets are dealt over tasks
 SIMILAR = 0.8
+PAIRS_A_PART = 256  # pairs that share one copy of their head's text
+HOT, HOT_BUCKETS = 10_000, 50_000  # members from which on a bucket is not shuffled by its name, and how many such buckets there can be
 PAIRS_AT_ONCE = 128
 
 _FOLD = bytes(
@@ -149,40 +150,57 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts on rows in the order of head, part and guest: the head's own row, then its members'."""
     np.seterr(over="ignore")
-    known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-    def kmers(key: bytes, text: str) -> np.ndarray:
-        if key not in known:
-            known[key] = labelled_kmers(text)
-            if len(known) > 64:
-                known.popitem(last=False)
-        known.move_to_end(key)
-        return known[key]
-
+    at, head = None, np.empty(0, np.uint64)
     for batch in batches:
+        heads: list[bytes] = []
+        keys: list[bytes] = []
         near: list[bool] = []
-        for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
-            a, b, ta, tb = (batch.slice(at, PAIRS_AT_ONCE).column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            near += [aligned_similarity(kmers(*x), kmers(*y)) >= SIMILAR for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+        for start in range(0, batch.num_rows, PAIRS_AT_ONCE):
+            few = batch.slice(start, PAIRS_AT_ONCE)
+            for a, part, guest, key, text in zip(*(few.column(c).to_pylist() for c in ("a", "part", "guest", "key", "text")), strict=True):
+                if not guest:
+                    at, head = (a, part), labelled_kmers(text)
+                elif at == (a, part):
+                    heads.append(a)
+                    keys.append(key)
+                    near.append(aligned_similarity(head, labelled_kmers(text)) >= SIMILAR)
+                else:
+                    raise RuntimeError("a member came without its head")
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(keys, pa.binary()), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, near) of pairs (a, b, la, lb); those whose lengths rule out the similarity are decided without their texts."""
+    """(a, b, near) of pairs (a, b, la, lb); those whose lengths rule out the similarity are decided without their texts.
+
+    A head's members are dealt to parts of about ``PAIRS_A_PART``, and each part gets the head's text once.
+    """
     pairs = checkpoint(pairs)
     possible = F.least("la", "lb") >= SIMILAR * F.greatest("la", "lb")
-    both = pairs.where(possible).select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    near = both.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a binary, b binary, near boolean")
+    asked = pairs.where(possible).select("a", "b")
+    parts = checkpoint(asked.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_PART).cast("int").alias("parts")).where("parts > 1"))
+    asked = asked.join(maybe_broadcast(parts), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)))
+    asked = checkpoint(asked.select("a", "b", "part"))
+    heads = asked.select("a", "part").distinct().select("a", "part", F.lit(False).alias("guest"), F.col("a").alias("key"))
+    rows = heads.unionByName(asked.select("a", "part", F.lit(True).alias("guest"), F.col("b").alias("key"))).join(texts, "key")
+    rows = rows.select("a", "part", "guest", "key", "text").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
+    near = rows.mapInArrow(_verify_batches, "a binary, b binary, near boolean")
     return checkpoint(near.unionByName(pairs.where(~possible).select("a", "b", F.lit(False).alias("near"))))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold at least two, with the bucket's head (the best connected member) and its size."""
-    heads = members.groupBy("bucket").agg(F.max(F.struct("ties", "key", "len")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return members.join(heads, "bucket").select("bucket", "key", "len", F.col("head.key").alias("head"), F.col("head.len").alias("head_len"), "n")
+def _beside(rows: DataFrame, facts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with one row of ``facts`` a bucket: those of hot buckets by a broadcast, so that no task gets a hot bucket whole."""
+    if hot is None:
+        return rows.join(facts, "bucket")
+    large = rows.join(hot, "bucket", "left_semi").join(facts.join(hot, "bucket", "left_semi").transform(F.broadcast), "bucket")
+    return large.unionByName(rows.join(hot, "bucket", "left_anti").join(facts.join(hot, "bucket", "left_anti"), "bucket"))
+
+
+def _stars(members: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Members of buckets with the bucket's head (the best connected member) and its size."""
+    heads = checkpoint(members.groupBy("bucket").agg(F.max(F.struct("ties", "key", "len")).alias("head"), F.count("*").alias("n")))
+    return _beside(members, heads, hot).select("bucket", "key", "len", F.col("head.key").alias("head"), F.col("head.len").alias("head_len"), "n")
 
 
 class _Block:
@@ -281,11 +299,14 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
 def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between keys of different texts; ``sketches`` has key, len and sketch once for each key."""
     met = sketches.select("key", "len", F.posexplode("sketch").alias("j", "v")).select("key", "len", F.xxhash64("j", "v").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(met.join(shared, "bucket"))
+    shared = checkpoint(met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = shared.where(F.col("n") > max(HOT, total // HOT_BUCKETS)).select("bucket")  # HOT_BUCKETS at most
+    hot = None if hot.isEmpty() else F.broadcast(hot)
+    met = checkpoint(_beside(met, shared, hot))
     # the text that meets the most others is compared with them: of copies of one original, the one least changed
     ties = met.groupBy("key").agg(F.sum("n").alias("ties"))
-    members = checkpoint(_stars(met.drop("n").join(ties, "key")))
+    members = checkpoint(_stars(met.drop("n").join(ties, "key"), hot))
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = checkpoint(members.select("key").distinct())
     texts = checkpoint(keyed.join(maybe_broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]))

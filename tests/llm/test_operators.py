@@ -600,9 +600,11 @@ def edited_copies(n, seed=1):
         yield i, " ".join(w)
 
 
-@pytest.mark.parametrize("block_words", [1 << 20, 5000])
-def test_members_unlike_the_head_find_each_other(spark, monkeypatch, block_words):
-    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", block_words, raising=False)
+@pytest.mark.parametrize(("block_words", "hot", "pairs"), [(1 << 20, 10_000, 256), (5000, 20, 7)])
+def test_members_unlike_the_head_find_each_other(spark, monkeypatch, block_words, hot, pairs):
+    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(order_minhash, "HOT", hot)
+    monkeypatch.setattr(order_minhash, "PAIRS_A_PART", pairs)
     rows = list(edited_copies(500))
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes_by_hand(rows)
