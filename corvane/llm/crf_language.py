@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import releasing, table
 
 DOCS_A_LANG = 400
 TRAIN_CHARS = 50_000
@@ -303,13 +303,13 @@ def fit(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG) -> Crf:
     return train(samples)
 
 
-def label_documents(docs: DataFrame, crf: Crf, with_runs: bool = True) -> DataFrame:
-    """Columns of ``docs`` but its text, plus lang_pred, score and, if asked for, runs (the code-switched stretches, in words).
+def label_documents(docs: DataFrame, crf: Crf, with_runs: bool = True, with_text: bool = False) -> DataFrame:
+    """Columns of ``docs`` but its text (unless ``with_text``), plus lang_pred, score and, if asked for, runs (the code-switched stretches, in words).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if no language was
     learned. Repeated rows get equal answers. Columns that bear a result column's name are replaced.
     """
-    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "runs")]
+    others = [c for c in docs.columns if c not in ("lang_pred", "score", "runs") and (with_text or c != "text")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
     schema = ", ".join([*kinds, "lang_pred string", "score double"] + ["runs array<struct<lang: string, words: int>>"] * with_runs)
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # FEATURES rows at most
@@ -328,7 +328,7 @@ def label_documents(docs: DataFrame, crf: Crf, with_runs: bool = True) -> DataFr
                     names.append("runs")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return docs.select(*others, *([] if with_text else ["text"])).mapInArrow(releasing(run), schema)
 
 
 def accepted(lang_pred: Column, score: Column, min_score: float = MIN_SCORE) -> Column:
@@ -339,8 +339,7 @@ def accepted(lang_pred: Column, score: Column, min_score: float = MIN_SCORE) ->
 def stage(docs: DataFrame) -> DataFrame:
     """The documents that have letters and one main language, with their own columns."""
     crf = fit(docs)
-    text = docs.withColumn("__text", F.col("text"))
-    return label_documents(text, crf, with_runs=False).where(accepted(F.col("lang_pred"), F.col("score"))).select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return label_documents(docs, crf, with_runs=False, with_text=True).where(accepted(F.col("lang_pred"), F.col("score"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, maybe_broadcast, table
+from ._common import checkpoint, maybe_broadcast, releasing, table
 
 SHINGLE = 5
 SKETCHES = 16
@@ -185,7 +185,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     heads = asked.select("a", "part").distinct().select("a", "part", F.lit(False).alias("guest"), F.col("a").alias("key"))
     rows = heads.unionByName(asked.select("a", "part", F.lit(True).alias("guest"), F.col("b").alias("key"))).join(texts, "key")
     rows = rows.select("a", "part", "guest", "key", "text").repartition("a", "part").sortWithinPartitions("a", "part", "guest")
-    near = rows.mapInArrow(_verify_batches, "a binary, b binary, near boolean")
+    near = rows.mapInArrow(releasing(_verify_batches), "a binary, b binary, near boolean")
     return checkpoint(near.unionByName(pairs.where(~possible).select("a", "b", F.lit(False).alias("near"))))
 
 
@@ -293,7 +293,7 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.explode(F.when(F.col("left"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
     rows = rows.select("bucket", "part", (F.col("part") != F.col("mine")).alias("guest"), "key", "root", "left").join(texts, "key")
     rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest")
-    return checkpoint(rows.mapInArrow(_rest_batches, "a binary, b binary"))
+    return checkpoint(rows.mapInArrow(releasing(_rest_batches), "a binary, b binary"))
 
 
 def find_links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts as a number from 2**62 on that its text gives. Repeated rows are in one class, and all of them
     are marked kept if their id is the class's. An empty table gives an empty result.
     """
-    made = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch_batches, "doc_id long, key binary, len long, sketch array<long>"))
+    made = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(_sketch_batches), "doc_id long, key binary, len long, sketch array<long>"))
     rows = made.select("doc_id", "key", F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("key"), 3)).alias("did"))
     unique = checkpoint(made.dropDuplicates(["key"]).where(F.size("sketch") > 0).select("key", "len", "sketch"))
     roots = checkpoint(components(find_links(unique, docs)))

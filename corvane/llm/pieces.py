@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import IdTable, digests, slices, text_bytes
-from ._common import table
+from ._common import releasing, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -314,9 +314,9 @@ def _encoded(docs: DataFrame, model: str, text: str, finish, schema: str) -> Dat
         return finish(left.drop_columns(["__block", "__at", "__places"]), assemble(segmenter(model), flat, count, ids, sizes, odd))
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
-    mine = source.mapInArrow(rows, ", ".join([*kinds, "__block binary, __at int, __places binary"]))
-    asked = source.mapInArrow(words, "part int, block binary, n long, at binary, sizes binary, whole binary, body binary")
-    back = asked.repartitionById(parts, F.col("part")).mapInArrow(answers, "__block binary, n long, at binary, ids binary, sizes binary, odd_at array<int>, odd array<binary>")
+    mine = source.mapInArrow(releasing(rows), ", ".join([*kinds, "__block binary, __at int, __places binary"]))
+    asked = source.mapInArrow(releasing(words), "part int, block binary, n long, at binary, sizes binary, whole binary, body binary")
+    back = asked.repartitionById(parts, F.col("part")).mapInArrow(releasing(answers), "__block binary, n long, at binary, ids binary, sizes binary, odd_at array<int>, odd array<binary>")
     return mine.groupBy("__block").cogroup(back.groupBy("__block")).applyInArrow(join, schema)
 
 
