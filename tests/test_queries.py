@@ -112,6 +112,20 @@ def test_sampled_pairs(spark):
     assert metrics.random_pairs(rows.limit(1), 10, 3, ["id"]).count() == 0
 
 
+def test_beyond_a_million_pairs_there_is_no_row_as_in_the_sql(spark, duck, tmp_path):
+    from .comparing import assert_same
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + F.lit(1_000_000).cast(docs.schema["doc_id"].dataType))).crossJoin(spark.range(4)).withColumn("doc_id", F.col("doc_id") + 10_000_000 * F.col("id")).drop("id").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duck.cursor()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE TEMP VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["pairwise_sampled"]).df()
+    assert len(want) == 0
+    assert_same(QUERIES["pairwise_sampled"](spark, str(tmp_path)).toPandas(), want)
+
+
 def test_internal_metrics_agree_with_their_own_queries(spark):
     got = collected(spark, "internal_metrics").set_index("metric")["value"]
     for name in ("silhouette", "calinski_harabasz", "davies_bouldin", "modularity"):
