@@ -132,6 +132,32 @@ def test_near_duplicates(spark):
     assert sorted((r["id"], r["kept"]) for r in neardup.exact_groups(rows).collect()) == [(1, 1), (3, 1)]
 
 
+def test_common_subsequences_of_many_texts_at_once():
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcé𝒳") for _ in range(n))
+    for _ in range(40):
+        many, b = [text(rng.randrange(40)) for _ in range(5)], text(rng.randrange(40))
+        assert neardup.common_subsequences([neardup._masks(a) for a in many], [len(a) for a in many], b).tolist() == [lcs(a, b) for a in many]
+
+
+@pytest.mark.parametrize("part_rows", [3, 256])
+def test_parts_of_a_block_find_all_pairs_and_carry_no_pair_of_texts(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(neardup, "PART_ROWS", part_rows)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 90))]
+        for _ in range(5):
+            for _ in range(rng.randrange(5)):
+                base[rng.randrange(len(base))] = rng.choice("abcdefgh")
+            texts.append("the same beginning of all " + "".join(base).strip())
+    texts = sorted({" ".join(t.split()) for t in texts})
+    want = {(i, j): neardup.ratio(a, b) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if neardup.ratio(a, b) >= 92}
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert {(r["a"], r["b"]): r["ratio"] for r in found.collect()} == want and len(want) > 20
+    assert "ta#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_knn_in_blocks(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 5)).round(1)
