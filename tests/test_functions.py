@@ -140,6 +140,14 @@ def test_common_subsequences_of_many_texts_at_once():
         assert neardup.common_subsequences([neardup._masks(a) for a in many], [len(a) for a in many], b).tolist() == [lcs(a, b) for a in many]
 
 
+def test_report_looks_for_near_duplicates_only_where_copies_are_fewer(spark, monkeypatch):
+    base = "the same beginning of a text that goes on and on until it ends"
+    rows = spark.createDataFrame([(1, base), (2, base + "."), (3, base), (4, base)], "id long, text string")
+    assert [(r["kind"], r["id"], r["similar_id"]) for r in neardup.report(rows, 3).collect()] == [("exact", 3, 1), ("exact", 4, 1), ("near", 1, 2)]
+    monkeypatch.setattr(neardup, "near_duplicates", None)
+    assert [(r["kind"], r["id"]) for r in neardup.report(rows, 2).collect()] == [("exact", 3), ("exact", 4)]
+
+
 @pytest.mark.parametrize("part_rows", [3, 256])
 def test_parts_of_a_block_find_all_pairs_and_carry_no_pair_of_texts(spark, monkeypatch, part_rows):
     monkeypatch.setattr(neardup, "PART_ROWS", part_rows)
