@@ -180,6 +180,30 @@ def test_knn_in_blocks(spark):
         assert whole[whole["id"] == i]["neighbour"].tolist() == want
 
 
+def test_a_block_of_neighbours_is_found_in_tiles(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    table = lambda ids, v, a, b: pa.table({a: ids, b: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1])})
+    q, b = rng.normal(size=(1024, 8)), rng.normal(size=(20_000, 8))
+    args = table(np.arange(1024), q, "id", "v"), table(np.arange(20_000) + 5000, b, "base_id", "base_v")
+    tracemalloc.start()
+    knn._nearest(5, "cosine")(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all distances of the blocks are 164 MB
+    v, ids = rng.normal(size=(300, 3)).round(1) + 0.01, rng.permutation(900)[:300]
+    monkeypatch.setattr(knn, "BASE_AT_ONCE", 40)
+    monkeypatch.setattr(knn, "QUERIES_AT_ONCE", 16)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for metric, d in (("cosine", np.round(1 - u @ u.T, 9)), ("euclidean", np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9))):
+        got = knn._nearest(4, metric)(table(ids, v, "id", "v"), table(ids, v, "base_id", "base_v")).to_pandas().groupby("id")["neighbour"].apply(list)
+        for i in range(300):
+            assert got[ids[i]] == [x for _, x in sorted((d[i, j], ids[j]) for j in range(300) if j != i)[:4]]
+
+
 def test_leiden_finds_cliques():
     edges = [(a + c, b + c) for c in (0, 6, 12) for a in range(6) for b in range(a)] + [(0, 6), (6, 12)]
     src, dst = (np.array(x) for x in zip(*edges, strict=True))
