@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -211,6 +212,35 @@ def test_leiden_finds_cliques():
     assert len(set(found)) == 3 and all(len(set(found[c : c + 6])) == 1 for c in (0, 6, 12))
 
 
+def test_leiden_ends_where_no_move_gains():
+    rng = np.random.default_rng(2)
+    group = rng.integers(0, 6, 4000)
+    by = [np.flatnonzero(group == g) for g in range(6)]
+    src = np.repeat(np.arange(4000), 8)
+    dst = np.where(rng.random(len(src)) < 0.85, np.array([rng.choice(by[group[v]]) for v in src]), rng.integers(0, 4000, len(src)))
+    apart = src != dst
+    src, dst = src[apart], dst[apart]
+    weight = rng.random(len(src))
+    began = time.process_time()
+    found = cluster.leiden_labels(4000, src, dst, weight, 1.0, 7)
+    assert time.process_time() - began < 20  # a queue of nodes took more than that
+    assert sorted(set(found)) == list(range(found.max() + 1)) and (np.diff(np.bincount(found)) <= 0).all()
+    assert found.tolist() == cluster.leiden_labels(4000, src, dst, weight, 1.0, 7).tolist()
+    assert np.mean([np.bincount(found[m]).max() / len(m) for m in by]) > 0.95
+
+
+def test_stability_is_over_the_whole_grid(spark, tmp_path):
+    from corvane.plans import QUERIES, vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(4)[i % 4] + 0.1 * rng.normal(size=4)).tolist(), i % 4) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [len(x) for x in (vectors.STABILITY_NEIGHBOURS, vectors.STABILITY_RESOLUTIONS, vectors.STABILITY_SEEDS)] == [3, 3, 3]
+    got = QUERIES["stability_grid"](spark, str(tmp_path)).collect()
+    assert {(r["run_a"], r["run_b"]) for r in got} == {(a, b) for a in range(27) for b in range(a + 1, 27)}
+    assert all(r["ari"] <= 1 and r["ami"] <= 1 for r in got) and sum(r["ari"] > 0.9 for r in got) > 100
+
+
 def test_linkage_and_density():
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(c, 0.05, (30, 2)) for c in ((1, 0), (0, 1), (-1, -1))])
