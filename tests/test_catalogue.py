@@ -55,6 +55,35 @@ def test_sparse_rows_take_their_vocabulary_from_training_rows(spark):
     assert all(abs(sum(x * x for x in w) - 1) < 1e-9 for _, w in got.values() if w)
 
 
+def test_terms_are_counted_where_their_row_is(spark, monkeypatch):
+    from corvane.operators import features
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abé𝒳"), rng.integers(1, 7))) for _ in range(rng.integers(0, 30))) for _ in range(60)] + [None, "", "  a\u00a0b "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    monkeypatch.setattr(features, "UNITS_AT_ONCE", 50)
+    monkeypatch.setattr(features, "TERMS_AT_ONCE", 40)
+    each = rows.select("id", F.explode(features.char_grams(F.col("text"))).alias("term")).groupBy("id", "term").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("total")).where("df >= 2 AND df <= 0.95 * 63")
+    want = [tuple(r) for r in each.orderBy(F.desc("total"), "term").limit(30).collect()]
+    found = features.vocabulary(rows, features.blank_words(F.col("text")), 2, 0.95, 30, features.char_pieces)
+    assert [tuple(r) for r in found.collect()] == want
+    matrix, size = spaces.sparse_rows(rows, features.blank_words(F.col("text")), None, 30, pieces=features.char_pieces)
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert size == 30 and plan.count("Exchange") <= 1  # the repartition above: no row's terms are shuffled
+
+
+def test_regressions_learn_from_every_training_row(spark):
+    from corvane.operators import learn
+
+    rows = [(i, "train" if i < 900 else "test", ["a"] if i % 3 else ["b"], [i % 3], [1.0]) for i in range(1000)]
+    made = spark.createDataFrame(rows, "id long, split string, macros array<string>, at array<int>, w array<double>")
+    assert not hasattr(learn, "TRAIN_ROWS")
+    coef = learn.fit_one_vs_rest(made.where("split = 'train'").select(F.array(F.array_contains("macros", "a").cast("double"), F.array_contains("macros", "b").cast("double")).alias("y"), F.col("at").alias("at0"), F.col("w").alias("w0")), [3], [[0]], 2)[0]
+    p = 1 / (1 + np.exp(-(coef[:3] + coef[3])))
+    g = (p - [[0, 1], [1, 0], [1, 0]]) / 3 + 1e-4 * coef[:3]
+    assert np.abs(g).max() < 1e-3 and p[0, 0] < 0.1 and p[1, 0] > 0.9
+
+
 def test_names_of_sets_spell_their_weights():
     sets = spaces.weighted_sets()
     assert len(sets) == 86
