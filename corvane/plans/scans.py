@@ -20,6 +20,7 @@ _HASH = f"sha256({fold_sql(norm_sql('text'))})"
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their digest; the queries keep the few columns that they need, so that texts are normalised once."""
     return corpus(spark, sf_dir).withColumn("hash", text_hash(F.col("text")))
 
 
@@ -141,26 +142,26 @@ def month_sample_rank(spark, sf_dir):
 
 @query(CTE + f", h AS (SELECT id, {_HASH} AS hash FROM corpus) SELECT hash, CAST(min(id) AS BIGINT) AS id, CAST(count(*) AS BIGINT) AS copies FROM h GROUP BY hash")
 def dedup_keep_first(spark, sf_dir):
-    return ops.deduplicate(_hashed(spark, sf_dir).select("id", "ord", "hash"), tags=None).select("hash", "id", "copies")
+    return ops.deduplicate(_hashed(spark, sf_dir).select("id", "ord", "hash").persist(), tags=None).select("hash", "id", "copies")
 
 
 @query(CTE + f", h AS (SELECT id, {_HASH} AS hash FROM corpus) SELECT id, hash FROM (SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM h) WHERE n > 1")
 def dup_groups_all(spark, sf_dir):
-    h = _hashed(spark, sf_dir).select("id", "ord", "hash")
+    h = _hashed(spark, sf_dir).select("id", "ord", "hash").persist()
     many = ops.first_of(h, "hash", ("ord", "id")).where("copies > 1").select("hash")
     return h.join(many, "hash", "left_semi").select("id", "hash")
 
 
 @query(CTE + f", h AS (SELECT id, {_HASH} AS hash FROM corpus), f AS (SELECT *, min(id) OVER (PARTITION BY hash) AS kept_id FROM h) SELECT hash, kept_id, id AS duplicate_id FROM f WHERE id <> kept_id")
 def duplicate_records(spark, sf_dir):
-    return ops.duplicates(_hashed(spark, sf_dir).select("id", "ord", "hash"))
+    return ops.duplicates(_hashed(spark, sf_dir).select("id", "ord", "hash").persist())
 
 
 @query(CTE + f""", h AS (SELECT id, tags, {_HASH} AS hash FROM corpus), x AS (SELECT hash, id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM h),
 s AS (SELECT hash, tag, min(row(id, pos)) AS f FROM x GROUP BY hash, tag), m AS (SELECT hash, string_agg(tag, ' ' ORDER BY f) AS merged FROM s GROUP BY hash)
 SELECT k.hash, k.id, coalesce(merged, '') AS merged FROM (SELECT hash, min(id) AS id FROM h GROUP BY hash) k LEFT JOIN m USING (hash)""")
 def tag_merge_on_dedup(spark, sf_dir):
-    return ops.deduplicate(_hashed(spark, sf_dir).select("id", "ord", "hash", "tags")).select("hash", "id", F.array_join("merged_tags", " ").alias("merged"))
+    return ops.deduplicate(_hashed(spark, sf_dir).select("id", "ord", "hash", "tags").persist()).select("hash", "id", F.array_join("merged_tags", " ").alias("merged"))
 
 
 _COVER = """, cal AS (SELECT CAST(year(d) AS BIGINT) AS year, CAST(month(d) AS BIGINT) AS month FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2026-12-01', INTERVAL 1 MONTH)) AS d)),

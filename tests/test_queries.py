@@ -112,6 +112,12 @@ def test_sampled_pairs(spark):
     assert metrics.random_pairs(rows.limit(1), 10, 3, ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("name", ["dedup_keep_first", "dup_groups_all", "duplicate_records", "tag_merge_on_dedup"])
+def test_texts_are_normalised_once(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") >= 2  # all sides start from the kept digests
+
+
 def test_beyond_a_million_pairs_there_is_no_row_as_in_the_sql(spark, duck, tmp_path):
     from .comparing import assert_same
 
