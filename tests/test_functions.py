@@ -205,6 +205,16 @@ def test_a_block_of_neighbours_is_found_in_tiles(monkeypatch):
             assert got[ids[i]] == [x for _, x in sorted((d[i, j], ids[j]) for j in range(300) if j != i)[:4]]
 
 
+def test_a_fit_has_no_more_tasks_than_cores_need(spark, monkeypatch):
+    rows = spark.range(60).select("id", F.array(F.col("id") % 2 + F.lit(0.0), F.lit(1.0)).alias("v"), F.lit("train").alias("split"), F.array(F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("macros")).repartition(40)
+    seen = []
+    for owner, name in ((cluster, "KMeans"), (learn, "LogisticRegression")):
+        fit = getattr(owner, name).fit
+        monkeypatch.setattr(getattr(owner, name), "fit", lambda self, d, *a, fit=fit: seen.append(d.rdd.getNumPartitions()) or fit(self, d, *a))
+    assert cluster.kmeans(rows, 2, seeds=(0,)).count() == 60 and learn.one_vs_rest(rows, ["a", "b"]).count() == 120
+    assert len(seen) == 3 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_leiden_finds_cliques():
     edges = [(a + c, b + c) for c in (0, 6, 12) for a in range(6) for b in range(a)] + [(0, 6), (6, 12)]
     src, dst = (np.array(x) for x in zip(*edges, strict=True))
